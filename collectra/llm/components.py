@@ -1,0 +1,34 @@
+"""Connected components of a link table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import cut
+
+
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``links`` (a, b: long) -> (node, component): the least node reachable from each linked node.
+
+    Self links and nulls say nothing and are dropped; an empty table gives an empty one. Every step
+    is a minimum per node (combined before the shuffle) and an equi-join that AQE may split, so a hub
+    with any share of the links does not meet in one task. Each round is written to the checkpoint
+    folder. Raises if ``max_rounds`` do not suffice (rounds grow with the logarithm of the longest path).
+    """
+    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    seen = None
+    for _ in range(max_rounds):
+        mark = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
+        if mark == seen or not mark[0]:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+                edges.select(F.col("b").alias("node"), F.col("b").alias("component"))
+            ).groupBy("node").agg(F.min("component").alias("component"))
+        seen = mark
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct())
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
