@@ -103,7 +103,8 @@ def kinds(text: np.ndarray) -> np.ndarray:
     n = len(text)
     differ = np.r_[text[:-1] != text[1:], True]
     rises = np.r_[text[:-1] < text[1:], False]
-    following = np.minimum.accumulate(np.where(differ, np.arange(n), n)[::-1])[::-1]
+    place = np.arange(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    following = np.minimum.accumulate(np.where(differ, place, place.dtype.type(n))[::-1])[::-1]
     return rises[following]
 
 

@@ -3,8 +3,13 @@
 A shard must hold all suffixes that may share ``length`` bytes. Sorting every suffix of the corpus
 there would move ``length`` times its size, so places that can match are found first, without loss:
 
+Exact copies go first: of equal texts only the one with the least doc_id matters, all bytes of the others
+are covered if there are ``length`` of them. Copies inside one batch of rows are settled where they are
+read, so of a copy group no more than a text a batch travels on; the rest meet in the folder that the
+text's digest names.
+
 1. Every ``length``-byte window names its anchor, the k-byte gram in it with the least hash (leftmost on
-   ties). Equal windows have equal anchors. Each folder of documents (dealt by hash of doc_id) sends its
+   ties). Equal windows have equal anchors. Each folder of documents (dealt by digest of the text) sends its
    distinct anchor hashes, six bytes each, to the hash's shard.
 2. Shards tell folders which anchors occur in more than one document. For those a folder sends the
    anchor's context (the bytes of all windows that name it), once for each distinct one, with the least
@@ -32,15 +37,17 @@ from .common import cut, table
 from .induce import suffixes
 
 HASH_BITS, LAST = 47, np.iinfo(np.int64).max
-NOTE, REPLY, TEXT = 0, 1, 2
+#: Suffix shards a partition; more of them need less memory at a time.
+SHARDS = 4
+NOTE, REPLY, NAME, TEXT, DONE = 0, 1, 2, 3, 4
 SCHEMA = "pid int, kind int, src int, blob binary"
 Row = tuple[int, int, int, bytes]
 
 
-def packed(*arrays: np.ndarray) -> bytes:
+def packed(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays one after the other, compressed; ``unpacked`` needs their types."""
     head = np.array([len(a) for a in arrays], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
 
 
 def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
@@ -52,6 +59,17 @@ def unpacked(blob: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
+def joined(blobs: list[bytes]) -> bytes:
+    return np.array([len(b) for b in blobs], np.int32).tobytes() + b"".join(blobs)
+
+
+def part(blob: bytes, k: int, of: int) -> bytes:
+    """The k-th of the blobs that ``joined`` made one."""
+    sizes = np.frombuffer(blob, np.int32, of)
+    at = 4 * of + int(sizes[:k].sum())
+    return blob[at : at + int(sizes[k])]
+
+
 def six(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -75,7 +93,7 @@ class Windows:
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, data: np.ndarray, length: int):
         self.ids, self.lengths, self.data, self.length = ids, lengths, data, length
         self.starts = np.cumsum(lengths) - lengths
-        k = length // 2 - 1
+        k = 2 * length // 5
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
         count = len(data) - length + 1
         none = np.zeros(0, np.int64)
@@ -128,32 +146,73 @@ class Windows:
         return which, [raw[a:b] for a, b in zip(self.first[which].tolist(), ends.tolist(), strict=True)]
 
 
-def texts(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Packs documents (doc_id, text as bytes) into compressed blocks by folder."""
+def texts(parts: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs documents (doc_id, text as bytes) into compressed blocks by folder, after their names (digest, doc_id)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known = np.array([x.as_py() is not None for x in batch.column(0)], bool)
             ids = np.array([x if x is not None else LAST for x in batch.column(0).to_pylist()], np.int64)
             data = [x or b"" for x in batch.column(1).to_pylist()]
-            spread = np.where(known, ids, np.array([xxhash.xxh3_64_intdigest(d) >> 1 for d in data], np.int64)) if not known.all() else ids
-            folder = dealt(spread, parts)
-            order = np.argsort(folder, kind="stable")
+            name = [xxhash.xxh3_128_digest(d) for d in data]
+            least: dict[bytes, int] = {}
+            for n, i in zip(name, ids.tolist(), strict=True):
+                if i < least.get(n, LAST + 1):
+                    least[n] = i
+            first = ids == np.array([least[n] for n in name], np.int64)
+            named = np.frombuffer(b"".join(name), np.uint64)[::2]
+            folder = np.where(first, dealt(named, parts), dealt(ids, parts))
+            order = np.lexsort((~first, folder))
             rows: list[Row] = []
             block: list[int] = []
             size = 0
-            for i, nxt in zip(order.tolist(), [*folder[order[1:]].tolist(), -1], strict=True):
+            for k, i in enumerate(order.tolist()):
                 block.append(i)
                 size += len(data[i])
-                if nxt != folder[i] or size > 4 << 20:
-                    lengths = np.array([len(data[j]) for j in block], np.int64)
-                    rows.append((int(folder[i]), TEXT, 0, packed(ids[block], lengths, np.frombuffer(b"".join(data[j] for j in block), np.uint8))))
+                following = order[k + 1] if k + 1 < len(order) else None
+                if following is None or folder[following] != folder[i] or first[following] != first[i] or size > 4 << 20:
+                    lengths, pid = np.array([len(data[j]) for j in block], np.int64), int(folder[i])
+                    if first[i]:
+                        rows.append((pid, NAME, 0, packed(ids[block], np.frombuffer(b"".join(name[j] for j in block), np.uint8))))
+                        rows.append((pid, TEXT, 0, packed(ids[block], lengths, np.frombuffer(b"".join(data[j] for j in block), np.uint8), level=3)))
+                    else:  # the same text has a smaller doc_id in this batch
+                        rest = b"".join(data[j] for j in block if len(data[j]) < length)
+                        rows.append((pid, DONE, 0, packed(ids[block], lengths, np.frombuffer(rest, np.uint8))))
                     block, size = [], 0
             yield from batched(iter(rows))
 
     return run
 
 
+class Names:
+    """The least doc_id of each text of a folder."""
+
+    def __init__(self):
+        self.least: dict[bytes, int] = {}
+
+    def add(self, blob: bytes) -> None:
+        ids, name = unpacked(blob, np.int64, np.uint8)
+        raw = name.tobytes()
+        for k, i in enumerate(ids.tolist()):
+            n = raw[16 * k : 16 * k + 16]
+            if i < self.least.get(n, LAST + 1):
+                self.least[n] = i
+
+    def windows(self, blob: bytes, length: int, once: set[bytes] | None = None) -> tuple[Windows, list[bool]]:
+        """The windows of a block's texts without those of copies (with ``once``: also of repeated rows)."""
+        ids, lengths, data = unpacked(blob, np.int64, np.int64, np.uint8)
+        raw, ends, keep = data.tobytes(), np.cumsum(lengths), []
+        for i, b, n in zip(ids.tolist(), ends.tolist(), lengths.tolist(), strict=True):
+            name = xxhash.xxh3_128_digest(raw[b - n : b])
+            good = self.least[name] == i and (once is None or name not in once)
+            if once is not None and good:
+                once.add(name)
+            keep.append(good)
+        if all(keep):
+            return Windows(ids, lengths, data, length), keep
+        chosen = np.array(keep, bool)
+        return Windows(ids[chosen], lengths[chosen], data[np.repeat(chosen, lengths)], length), keep
+
+
 def batched(rows: Iterator[Row]) -> Iterator[pa.RecordBatch]:
     held: list[Row] = []
     size = 0
@@ -192,11 +251,15 @@ def anchors(parts: int, length: int) -> Callable:
     """Folders: texts -> distinct anchor hashes by shard; the lowest bit says that two documents hold it."""
 
     def folder(rows: Iterator[Row]) -> Iterator[Row]:
-        hashes, docs, pid = [], [], 0
-        for pid, _, _, blob in rows:
-            w = Windows(*unpacked(blob, np.int64, np.int64, np.uint8), length)
-            hashes.append(w.hash)
-            docs.append(w.ids[w.doc])
+        hashes, docs, pid, names, once, base = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0, Names(), set(), 0
+        for pid, kind, _, blob in rows:
+            if kind == NAME:
+                names.add(blob)
+            elif kind == TEXT:
+                w, _ = names.windows(blob, length, once)
+                hashes.append(w.hash)
+                docs.append(base + w.doc)
+                base += len(w.ids)
         h, d = np.concatenate(hashes), np.concatenate(docs)
         order = np.argsort(h, kind="stable")
         h, d = h[order], d[order]
@@ -245,15 +308,18 @@ def contexts(parts: int, length: int) -> Callable:
     """Folders: shared anchors and texts -> distinct contexts by shard, with the least doc_id and whether another has it."""
 
     def folder(rows: Iterator[Row]) -> Iterator[Row]:
-        notes, shared, pid = [], None, 0
+        notes, shared, pid, names, once = [], None, 0, Names(), set()
         least: dict[bytes, list[int]] = {}
         for pid, kind, _, blob in rows:
             if kind == NOTE:
                 notes.append(unsix(blob))
+            elif kind == NAME:
+                names.add(blob)
+            if kind != TEXT:
                 continue
             if shared is None:
                 shared = np.sort(np.concatenate(notes)) if notes else np.zeros(0, np.uint64)
-            w = Windows(*unpacked(blob, np.int64, np.int64, np.uint8), length)
+            w, _ = names.windows(blob, length, once)
             which, found = w.contexts(shared)
             for c, h, d in zip(found, w.hash[which].tolist(), w.ids[w.doc[which]].tolist(), strict=True):
                 if (seen := least.get(c)) is None:
@@ -266,14 +332,19 @@ def contexts(parts: int, length: int) -> Callable:
         about = np.array(list(least.values()), np.int64)
         if len({xxhash.xxh3_64_intdigest(c) for c in told}) < len(told):
             raise RuntimeError("two contexts of a folder share a 64-bit digest")
-        shard = dealt(about[:, 2], parts)
-        order = np.argsort(shard, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, shard[order[1:]] != shard[order[:-1]]])
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
-            own = order[a:b]
-            some = [told[i] for i in own]
-            blob = packed(about[own, 0], about[own, 1].astype(np.uint8), np.array([len(c) for c in some], np.int32), np.frombuffer(b"".join(some), np.uint8))
-            yield int(shard[own[0]]), NOTE, pid, blob
+        fine = dealt(about[:, 2], SHARDS * parts)
+        order = np.argsort(fine, kind="stable")
+        fine = fine[order]
+        cuts = np.searchsorted(fine, np.arange(SHARDS * parts + 1)).tolist()
+        for shard in range(parts):
+            if cuts[SHARDS * shard] == cuts[SHARDS * (shard + 1)]:
+                continue
+            blobs = []
+            for a, b in zip(cuts[SHARDS * shard : SHARDS * (shard + 1)], cuts[SHARDS * shard + 1 :], strict=False):
+                own = order[a:b]
+                some = [told[i] for i in own]
+                blobs.append(packed(about[own, 0], about[own, 1].astype(np.uint8), np.array([len(c) for c in some], np.int32), np.frombuffer(b"".join(some), np.uint8)))
+            yield shard, NOTE, pid, joined(blobs)
 
     return lambda batches: batched(r for run in by_pid(batches) for r in folder(run))
 
@@ -282,8 +353,8 @@ def least_documents(found: list[bytes], least: np.ndarray, length: int, memory:
     """(contexts, windows): the least doc_id of each window's string, from the suffix order of all contexts."""
     sizes = np.array([len(c) for c in found], np.int64)
     text = np.frombuffer(b"\0".join(found) + b"\0", np.uint8)
-    owner = np.repeat(np.arange(len(found)), sizes + 1)
-    offset = np.arange(len(text)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
+    owner = np.repeat(np.arange(len(found), dtype=np.int32), sizes + 1)
+    offset = (np.arange(len(text)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)).astype(np.int32)
     whole = offset + length <= sizes[owner]
     out = np.full((len(found), int(sizes.max()) - length + 1), LAST, np.int64)
     for pos, lcp in suffixes(text, length, memory):
@@ -298,29 +369,40 @@ def least_documents(found: list[bytes], least: np.ndarray, length: int, memory:
 def replies(length: int, memory: int) -> Callable:
     """Shards: contexts by folder -> by folder (digest, least doc_id there, bits of its windows that a smaller document has)."""
 
-    def shard(rows: Iterator[Row]) -> Iterator[Row]:
+    def answers(sent: list[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         number: dict[bytes, int] = {}
-        sent, pid = [], 0
-        for pid, _, src, blob in rows:
+        known = []
+        for src, blob in sent:
             doc, several, sizes, data = unpacked(blob, np.int64, np.uint8, np.int32, np.uint8)
             raw, ends = data.tobytes(), np.cumsum(sizes)
-            some = [raw[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            sent.append((src, doc, several, np.fromiter((number.setdefault(c, len(number)) for c in some), np.int64, len(some))))
+            some = (raw[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True))
+            known.append((src, doc, several, np.fromiter((number.setdefault(c, len(number)) for c in some), np.int64, len(sizes))))
+        if not number:
+            return
         least = np.full(len(number), LAST, np.int64)
-        for _, doc, _, at in sent:
+        for _, doc, _, at in known:
             np.minimum.at(least, at, doc)
         found = list(number)
         del number
         low = least_documents(found, least, length, memory)
         digest = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in found), np.uint64, len(found))
         weight = np.uint64(1) << np.arange(low.shape[1], dtype=np.uint64)
-        for src, doc, several, at in sent:
+        for src, doc, several, at in known:
             bits = np.zeros(len(at), np.uint64)
             for i in range(0, len(at), 65536):
                 bits[i : i + 65536] = ((low[at[i : i + 65536]] < doc[i : i + 65536, None]) * weight).sum(axis=1, dtype=np.uint64)
             told = (bits > 0) | (several > 0)
             if told.any():
-                yield src, REPLY, pid, packed(digest[at[told]], doc[told], bits[told])
+                yield src, digest[at[told]], doc[told], bits[told]
+
+    def shard(rows: Iterator[Row]) -> Iterator[Row]:
+        got = list(rows)
+        out: dict[int, list] = {}
+        for k in range(SHARDS):
+            for src, *arrays in answers([(r[2], part(r[3], k, SHARDS)) for r in got]):
+                out.setdefault(src, []).append(arrays)
+        for src, parts in out.items():
+            yield src, REPLY, got[0][0], packed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
     return lambda batches: batched(r for run in by_pid(batches) for r in shard(run))
 
@@ -330,7 +412,15 @@ def removals(length: int) -> Callable:
     names = ["doc_id", "n_bytes", "spans", "kept"]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def block(w: Windows, shared: np.ndarray, digest: np.ndarray, least: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    def batch(rows: list[tuple[int, int, list, bytes]]) -> pa.RecordBatch:
+        ids, sizes, spans, kept = zip(*rows, strict=True)
+        ids = [None if i == LAST else i for i in ids]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names)
+
+    def copy(i: int, n: int, text: bytes) -> tuple[int, int, list, bytes]:
+        return (i, n, [{"start": 0, "end": n}], b"") if n >= length else (i, n, [], text)
+
+    def block(w: Windows, shared: np.ndarray, digest: np.ndarray, least: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, list, bytes]]:
         marks = np.zeros(len(w.data) + 1, np.int32)
         which, found = w.contexts(shared)
         own = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in found), np.uint64, len(found))
@@ -346,34 +436,43 @@ def removals(length: int) -> Callable:
                 np.add.at(marks, at, 1)
                 np.add.at(marks, at + length, -1)
         gone = np.cumsum(marks)[:-1] > 0
-        ids, sizes, spans, kept = [], [], [], []
         for i, a, n in zip(w.ids.tolist(), w.starts.tolist(), w.lengths.tolist(), strict=True):
             mine, data = gone[a : a + n], w.data[a : a + n]
-            ids.append(None if i == LAST else i)
-            sizes.append(n)
             if mine.any():
                 edge = np.flatnonzero(np.diff(np.r_[0, mine.view(np.int8), 0]))
-                spans.append([{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()])
-                kept.append(data[~mine].tobytes())
+                yield i, n, [{"start": x, "end": y} for x, y in edge.reshape(-1, 2).tolist()], data[~mine].tobytes()
             else:
-                spans.append([])
-                kept.append(data.tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names)
+                yield i, n, [], data.tobytes()
 
     def folder(rows: Iterator[Row]) -> Iterator[pa.RecordBatch]:
-        notes, got, told = [], [], None
+        notes, got, told, known = [], [], None, Names()
         for _, kind, _, blob in rows:
             if kind == NOTE:
                 notes.append(unsix(blob))
             elif kind == REPLY:
                 got.append(unpacked(blob, np.uint64, np.int64, np.uint64))
+            elif kind == NAME:
+                known.add(blob)
+            elif kind == DONE:
+                ids, lengths, rest = unpacked(blob, np.int64, np.int64, np.uint8)
+                raw, at, out = rest.tobytes(), 0, []
+                for i, n in zip(ids.tolist(), lengths.tolist(), strict=True):
+                    out.append(copy(i, n, raw[at : at + n]))
+                    at += n if n < length else 0
+                yield batch(out)
             else:
                 if told is None:
                     shared = np.sort(np.concatenate(notes)) if notes else np.zeros(0, np.uint64)
                     digest, least, bits = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
                     order = np.argsort(digest)
                     told = shared, digest[order], least[order], bits[order]
-                yield block(Windows(*unpacked(blob, np.int64, np.int64, np.uint8), length), *told)
+                w, own = known.windows(blob, length)
+                out = list(block(w, *told))
+                if not all(own):
+                    ids, lengths, data = unpacked(blob, np.int64, np.int64, np.uint8)
+                    raw, ends = data.tobytes(), np.cumsum(lengths)
+                    out += [copy(i, n, raw[b - n : b]) for i, n, b, o in zip(ids.tolist(), lengths.tolist(), ends.tolist(), own, strict=True) if not o]
+                yield batch(out)
 
     return lambda batches: (b for run in by_pid(batches) for b in folder(run))
 
@@ -390,7 +489,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, memory: int = 128 << 20) -
         raise ValueError("length is 8 to 128")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("text"))
-    folders = plain.mapInArrow(texts(parts), SCHEMA)
+    folders = plain.mapInArrow(texts(parts, length), SCHEMA)
     sent = dealt_rows(folders, parts).mapInArrow(anchors(parts, length), SCHEMA)
     notes = cut(dealt_rows(sent, parts).mapInArrow(shared_anchors(), SCHEMA))
     sent = dealt_rows(folders.unionByName(notes), parts).mapInArrow(contexts(parts, length), SCHEMA)
