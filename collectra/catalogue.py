@@ -1,9 +1,379 @@
-"""The library's registered queries and their SQL."""
+"""The library's registered queries, each beside its SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql() -> dict:
-    return {}
+from .functions import bits, nested, text
+from .functions import encodings
+from .operators import graph as g
+from .operators import maps, ordered, seq, sets, traverse
+from .operators.graph import Graph
+from .operators.positions import index_of, nth, positions, slice_indices
+from .sources import virtual
+
+FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a query; ``{X()}`` in the SQL stands for a named input below."""
+
+    def keep(f: Callable[[SparkSession, str], DataFrame]):
+        FOUND[name] = (f, sql.format(**SQL) if sql else None)
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: f for k, (f, _) in FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: s for k, (_, s) in FOUND.items() if s}
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# Named inputs, in Spark and in SQL.
+def by_priority(s, sf, p):
+    return t(s, sf, "orders").where(F.col("o_orderpriority") == p).groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_totalprice").alias("value"))
+
+
+def A(s, sf):
+    return by_priority(s, sf, "1-URGENT")
+
+
+def B(s, sf):
+    return by_priority(s, sf, "2-HIGH")
+
+
+def LE(s, sf):
+    return seq.from_order(t(s, sf, "events"), "event_type", "ts", "event_id")
+
+
+def PM(s, sf):
+    return t(s, sf, "part").groupBy(F.col("p_retailprice").alias("key")).agg(F.min("p_partkey").alias("value"))
+
+
+def IM(s, sf):
+    return t(s, sf, "part").select((F.col("p_partkey") - 1000).alias("key"), F.col("p_name").alias("value"))
+
+
+def FM(s, sf):
+    return t(s, sf, "lineitem").groupBy(F.col("l_extendedprice").alias("key")).agg(F.max("l_partkey").alias("value"))
+
+
+def following(df, part, order, col):
+    w = Window.partitionBy(part).orderBy(*order)
+    pairs = df.select(F.col(col).alias("src"), F.lead(col).over(w).alias("dst")).where("dst is not null")
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("value"))
+
+
+def TR(s, sf):
+    return Graph.of(following(t(s, sf, "events"), "user_id", ["ts", "event_id"], "event_type"))
+
+
+def DG(s, sf):
+    urgent = t(s, sf, "orders").where("o_orderpriority = '1-URGENT'")
+    return Graph.of(following(urgent, "o_orderdate", ["o_orderkey"], "o_custkey"))
+
+
+def DAGF(s, sf):
+    return Graph.of(DG(s, sf).edges.where("src < dst"))
+
+
+def UG(s, sf):
+    pairs = t(s, sf, "lineitem").where("l_quantity = 50 and l_discount >= 0.09")
+    return Graph.of(pairs.select(F.concat(F.lit("S"), "l_suppkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.lit(1).cast("long").alias("value")), directed=False)
+
+
+SQL = {
+    "A": "(SELECT o_custkey AS key, max(o_totalprice) AS value FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)",
+    "B": "(SELECT o_custkey AS key, max(o_totalprice) AS value FROM orders WHERE o_orderpriority = '2-HIGH' GROUP BY 1)",
+    "SA": "(SELECT DISTINCT o_custkey AS value FROM orders WHERE o_orderpriority = '1-URGENT')",
+    "SB": "(SELECT DISTINCT o_custkey AS value FROM orders WHERE o_orderpriority = '2-HIGH')",
+    "AP": "(SELECT *, row_number() OVER (ORDER BY key) - 1 AS idx FROM (SELECT o_custkey AS key, max(o_totalprice) AS value FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1))",
+    "SP": "(SELECT *, row_number() OVER (ORDER BY value) - 1 AS idx FROM (SELECT DISTINCT o_custkey AS value FROM orders WHERE o_orderpriority = '1-URGENT'))",
+    "LE": "(SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS idx, event_type AS value FROM events)",
+    "PM": "(SELECT p_retailprice AS key, min(p_partkey) AS value FROM part GROUP BY 1)",
+    "PP": "(SELECT p_retailprice AS key, row_number() OVER (ORDER BY p_retailprice) - 1 AS idx FROM (SELECT DISTINCT p_retailprice FROM part))",
+    "IM": "(SELECT p_partkey - 1000 AS key, p_name AS value FROM part)",
+    "FM": "(SELECT l_extendedprice AS key, max(l_partkey) AS value FROM lineitem GROUP BY 1)",
+    "PR": "(SELECT o_orderkey AS id, o_totalprice / 100 AS probe FROM orders UNION ALL SELECT -p_partkey, p_retailprice FROM part)",
+    "TR": "(SELECT src, dst, count(*) AS value FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL GROUP BY ALL)",
+    "DG": "(SELECT src, dst, count(*) AS value FROM (SELECT o_custkey AS src, lead(o_custkey) OVER (PARTITION BY o_orderdate ORDER BY o_orderkey) AS dst FROM orders WHERE o_orderpriority = '1-URGENT') WHERE dst IS NOT NULL GROUP BY ALL)",
+    "UG": "(SELECT least(a, b) AS src, greatest(a, b) AS dst, max(1) AS value FROM (SELECT 'S' || l_suppkey AS a, 'P' || l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount >= 0.09) GROUP BY ALL)",
+}
+SQL["DAGF"] = f"(SELECT * FROM {SQL['DG']} WHERE src < dst)"
+SQL["DV"] = f"(SELECT src AS id FROM {SQL['DG']} UNION SELECT dst FROM {SQL['DG']})"
+SQL["UV"] = f"(SELECT src AS id FROM {SQL['UG']} UNION SELECT dst FROM {SQL['UG']})"
+SQL["UB"] = f"(SELECT src, dst FROM {SQL['UG']} UNION SELECT dst, src FROM {SQL['UG']})"
+
+
+def key_set(m):
+    return maps.keys(m)
+
+
+# Maps: merge, union, difference, intersection.
+for _name, _f, _s in (("max", F.greatest, "greatest(a.value, b.value)"), ("min", F.least, "least(a.value, b.value)"), ("first", lambda x, _: x, "a.value")):
+    query(f"map_merge_{_name}", f"SELECT key, CASE WHEN a.value IS NULL THEN b.value WHEN b.value IS NULL THEN a.value ELSE {_s} END AS value FROM {{A}} a FULL JOIN {{B}} b USING (key)")(lambda s, sf, f=_f: maps.merge(A(s, sf), B(s, sf), f))
+query("map_union_right_wins", "SELECT * FROM {B} UNION ALL SELECT * FROM {A} a WHERE NOT EXISTS (FROM {B} b WHERE a.key = b.key)")(lambda s, sf: maps.union(A(s, sf), B(s, sf)))
+query("map_difference", "SELECT * FROM {A} a ANTI JOIN {B} b USING (key)")(lambda s, sf: maps.difference(A(s, sf), B(s, sf)))
+query("map_difference_keys", "SELECT * FROM {A} a WHERE key NOT IN (SELECT value FROM {SB})")(lambda s, sf: maps.difference(A(s, sf), key_set(B(s, sf))))
+query("map_intersection", "SELECT * FROM {A} a SEMI JOIN {B} b USING (key)")(lambda s, sf: maps.intersection(A(s, sf), B(s, sf)))
+query("map_intersection_keys", "SELECT * FROM {A} a WHERE key IN (SELECT value FROM {SB})")(lambda s, sf: maps.intersection(A(s, sf), key_set(B(s, sf))))
+query("set_union", "SELECT value FROM {SA} UNION SELECT value FROM {SB}")(lambda s, sf: sets.union(key_set(A(s, sf)), key_set(B(s, sf))))
+query("set_difference", "SELECT value FROM {SA} EXCEPT SELECT value FROM {SB}")(lambda s, sf: sets.difference(key_set(A(s, sf)), key_set(B(s, sf))))
+query("set_intersection", "SELECT value FROM {SA} INTERSECT SELECT value FROM {SB}")(lambda s, sf: sets.intersection(key_set(A(s, sf)), key_set(B(s, sf))))
+query("set_contains_all", "SELECT count(*) = 0 AS result FROM (SELECT value FROM {SB} EXCEPT SELECT value FROM {SA})")(lambda s, sf: sets.contains_all(key_set(A(s, sf)), key_set(B(s, sf))))
+query("set_contains_any", "SELECT count(*) > 0 AS result FROM (SELECT value FROM {SB} INTERSECT SELECT value FROM {SA})")(lambda s, sf: sets.contains_any(key_set(A(s, sf)), key_set(B(s, sf))))
+query("map_contains_all", "SELECT count(*) = 0 AS result FROM {B} b ANTI JOIN {A} a USING (key)")(lambda s, sf: maps.contains_all(A(s, sf), B(s, sf)))
+query("map_contains_any", "SELECT count(*) > 0 AS result FROM {B} b SEMI JOIN {A} a USING (key)")(lambda s, sf: maps.contains_any(A(s, sf), B(s, sf)))
+query("set_contains", "SELECT c_custkey AS value, c_custkey IN (SELECT value FROM {SA}) AS found FROM customer")(lambda s, sf: sets.contains(key_set(A(s, sf)), t(s, sf, "customer").select(F.col("c_custkey").alias("value"))))
+query("set_add_remove", "SELECT value FROM (SELECT value FROM {SA} UNION SELECT -1) WHERE value <> 1")(lambda s, sf: sets.remove(sets.add(key_set(A(s, sf)), -1), 1))
+query("set_of_alike", "SELECT min(c_name) AS value FROM customer GROUP BY substr(c_name, length(c_name) - 1)")(lambda s, sf: sets.of(t(s, sf, "customer"), "c_name", lambda c: F.expr("substr(value, length(value) - 1)")))
+
+
+def probes(s, sf):
+    return t(s, sf, "customer").select(F.col("c_custkey").alias("key"))
+
+
+def nulled(m):
+    return maps.map_values(m, lambda k, v: F.when(k % 3 != 0, v))
+
+
+query("map_get_default", "SELECT c_custkey AS key, CASE WHEN a.key IS NULL THEN -1.0 ELSE a.value END AS value, a.key IS NOT NULL AS found FROM customer LEFT JOIN {A} a ON a.key = c_custkey")(lambda s, sf: maps.get(A(s, sf), probes(s, sf), F.lit(-1.0)))
+query("map_get_null_value", "SELECT c_custkey AS key, CASE WHEN a.key IS NULL THEN -1.0 WHEN a.key % 3 = 0 THEN NULL ELSE a.value END AS value, a.key IS NOT NULL AS found FROM customer LEFT JOIN {A} a ON a.key = c_custkey")(lambda s, sf: maps.get(nulled(A(s, sf)), probes(s, sf), F.lit(-1.0)))
+query("map_get_or_create", "SELECT c_custkey AS key, coalesce(CASE WHEN a.key % 3 <> 0 THEN a.value END, CAST(c_custkey AS DOUBLE)) AS value FROM customer LEFT JOIN {A} a ON a.key = c_custkey")(lambda s, sf: maps.get_or_create(nulled(A(s, sf)), probes(s, sf), lambda k: k.cast("double")))
+query("map_from_last_wins", "SELECT o_custkey AS key, arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1")(lambda s, sf: maps.from_rows(t(s, sf, "orders"), F.col("o_custkey"), F.col("o_totalprice"), F.col("o_orderkey")))
+query("map_put_batch", "SELECT key, coalesce(b.value, a.value) AS value FROM {A} a FULL JOIN (SELECT o_custkey AS key, arg_max(o_totalprice, o_orderkey) AS value FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1) b USING (key)")(
+    lambda s, sf: maps.put(A(s, sf), t(s, sf, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq")))
+)
+query("map_put_merge_fold", "SELECT o_custkey AS key, string_agg(o_orderstatus, '' ORDER BY o_orderkey) AS value FROM orders GROUP BY 1")(lambda s, sf: maps.fold(t(s, sf, "orders"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderkey"), F.lit(""), lambda acc, v: F.concat(acc, v)))
+query("map_update", "SELECT coalesce(a.key, c_custkey) AS key, CASE WHEN c_custkey IS NULL THEN a.value ELSE coalesce(a.value * 2, 0.0) END AS value FROM {A} a FULL JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 5 = 0) c ON a.key = c.c_custkey")(
+    lambda s, sf: maps.update(A(s, sf), probes(s, sf).where("key % 5 = 0"), lambda v: F.coalesce(v * 2, F.lit(0.0)))
+)
+query("map_remove", "SELECT * FROM {A} WHERE key % 5 <> 0")(lambda s, sf: maps.remove(A(s, sf), probes(s, sf).where("key % 5 = 0")))
+query("map_map_values", "SELECT key, value + key AS value FROM {A}")(lambda s, sf: maps.map_values(A(s, sf), lambda k, v: v + k))
+query("map_keys", "SELECT key AS value FROM {A}")(lambda s, sf: maps.keys(A(s, sf)))
+query("map_values", "SELECT value FROM {A}")(lambda s, sf: maps.values(A(s, sf)))
+query("map_entries", "SELECT key || ':' || CAST(floor(value) AS BIGINT) AS entry FROM {A}")(lambda s, sf: maps.entries(A(s, sf)).select(F.concat_ws(":", F.col("entry.key"), F.floor("entry.value").cast("long")).alias("entry")))
+query("set_zip", "SELECT value AS key, value * value AS value FROM {SA}")(lambda s, sf: sets.zip_(key_set(A(s, sf)), lambda v: v * v))
+query("map_equals", "SELECT true AS equal")(lambda s, sf: maps.equals(A(s, sf), maps.merge(A(s, sf), A(s, sf), lambda x, _: x)))
+query("map_equals_custom", "SELECT true AS equal")(lambda s, sf: maps.equals(A(s, sf), maps.map_values(A(s, sf), lambda _, v: F.floor(v).cast("double")), lambda x, y: F.floor(x) == F.floor(y)))
+query("set_equals", "SELECT false AS equal")(lambda s, sf: sets.equals(key_set(A(s, sf)), key_set(B(s, sf))))
+query("map_custom_equality", "SELECT min(c_mktsegment) AS key, max(c_custkey) AS value FROM customer GROUP BY lower(c_mktsegment)")(lambda s, sf: maps.from_rows_alike(t(s, sf, "customer"), F.col("c_mktsegment"), F.col("c_custkey"), F.col("c_custkey"), F.lower))
+query("map_to_text", "SELECT '{{' || string_agg(n_nationkey || ' ' || n_name, ', ' ORDER BY n_nationkey) || '}}' AS text FROM nation")(lambda s, sf: maps.to_text(t(s, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))))
+query("map_hash_order_free", "SELECT true AS same")(lambda s, sf: maps.hash_(A(s, sf)).unionByName(maps.hash_(A(s, sf).repartition(3))).agg((F.countDistinct("hash") == 1).alias("same")))
+
+
+# Positions on maps and sets.
+def PA(s, sf):
+    return positions(A(s, sf), "key")
+
+
+def PS(s, sf):
+    return positions(key_set(A(s, sf)), "value")
+
+
+query("map_index_of", "SELECT c_custkey AS key, idx FROM customer LEFT JOIN {AP} a ON a.key = c_custkey")(lambda s, sf: index_of(PA(s, sf), probes(s, sf), "key"))
+query("map_nth", "SELECT * FROM {AP} WHERE idx = 10")(lambda s, sf: nth(PA(s, sf), 10))
+query("map_slice_indices", "SELECT key, value, idx - 5 AS idx FROM {AP} WHERE idx BETWEEN 5 AND 24")(lambda s, sf: slice_indices(PA(s, sf), 5, 25))
+query("set_index_of", "SELECT c_custkey AS value, idx FROM customer LEFT JOIN {SP} a ON a.value = c_custkey")(lambda s, sf: index_of(PS(s, sf), probes(s, sf).withColumnRenamed("key", "value"), "value"))
+query("set_nth", "SELECT * FROM {SP} WHERE idx = 10")(lambda s, sf: nth(PS(s, sf), 10))
+query("set_slice_indices", "SELECT value, idx - 5 AS idx FROM {SP} WHERE idx BETWEEN 5 AND 24")(lambda s, sf: slice_indices(PS(s, sf), 5, 25))
+
+# Sequences.
+N = "(SELECT count(*) FROM events)"
+query("list_nth", "SELECT value FROM {LE} WHERE idx = 7")(lambda s, sf: seq.nth(LE(s, sf), 7))
+query("list_nth_default", "SELECT 'none' AS value")(lambda s, sf: seq.nth(LE(s, sf), -1, "none"))
+query("list_first_last", f"SELECT (SELECT value FROM {{LE}} WHERE idx = 0) AS first, (SELECT value FROM {{LE}} WHERE idx = {N} - 1) AS last")(lambda s, sf: seq.first_last(LE(s, sf)))
+query("list_slice", "SELECT idx - 10 AS idx, value FROM {LE} WHERE idx BETWEEN 10 AND 99")(lambda s, sf: seq.slice_(LE(s, sf), 10, 100))
+query("list_iterator_from", "SELECT * FROM {LE} WHERE idx >= 50")(lambda s, sf: seq.iterate_from(LE(s, sf), 50))
+query("list_reverse", f"SELECT {N} - 1 - idx AS idx, value FROM {{LE}}")(lambda s, sf: seq.reverse(LE(s, sf)))
+query("list_concat", f"SELECT * FROM {{LE}} UNION ALL SELECT idx + {N}, value FROM {{LE}}")(lambda s, sf: seq.concat(LE(s, sf), LE(s, sf)))
+query("list_set", "SELECT idx, CASE WHEN idx = 3 THEN 'x' ELSE value END AS value FROM {LE}")(lambda s, sf: seq.set_(LE(s, sf), 3, "x"))
+query("list_update", "SELECT idx, CASE WHEN idx = 3 THEN upper(value) ELSE value END AS value FROM {LE}")(lambda s, sf: seq.update(LE(s, sf), 3, F.upper))
+query("list_lazy_map", "SELECT idx, upper(value) AS value FROM {LE}")(lambda s, sf: seq.lazy_map(LE(s, sf), F.upper))
+query("list_add_first_last", f"SELECT 0 AS idx, 'a' AS value UNION ALL SELECT idx + 1, value FROM {{LE}} UNION ALL SELECT {N} + 1, 'z'")(lambda s, sf: seq.add_last(seq.add_first(LE(s, sf), "a"), "z"))
+query("list_remove_first_last", f"SELECT idx - 1 AS idx, value FROM {{LE}} WHERE idx > 0 AND idx < {N} - 1")(lambda s, sf: seq.remove_last(seq.remove_first(LE(s, sf))))
+query("list_split", f"SELECT idx, value, CAST(least(idx // ({N} // 7), 6) AS INTEGER) AS part FROM {{LE}}")(lambda s, sf: seq.split(LE(s, sf), 7))
+query("list_sort_stable", "SELECT row_number() OVER (ORDER BY value, idx) - 1 AS idx, value FROM {LE}")(lambda s, sf: seq.sort(LE(s, sf)))
+query("list_merge_sorted", "SELECT row_number() OVER (ORDER BY value) - 1 AS idx, value FROM (SELECT value FROM {LE} WHERE idx < 100 UNION ALL SELECT value FROM {LE} WHERE idx < 50)")(lambda s, sf: seq.merge_sorted(LE(s, sf).where("idx < 100"), LE(s, sf).where("idx < 50")))
+query("list_indexed", "SELECT idx + 5 AS idx, value FROM {LE}")(lambda s, sf: seq.indexed(LE(s, sf), 5))
+query("list_equals", "SELECT true AS equal")(lambda s, sf: seq.equals(LE(s, sf), LE(s, sf)))
+query("list_array_index_of", "SELECT coalesce(min(idx), -1) AS first, coalesce(max(idx), -1) AS last FROM {LE} WHERE value = 'click'")(lambda s, sf: seq.position_of(LE(s, sf), "click"))
+query("list_to_text", "SELECT '[' || string_agg(r_name, ', ' ORDER BY r_regionkey) || ']' AS text FROM region")(lambda s, sf: seq.to_text(seq.from_order(t(s, sf, "region"), "r_name", "r_regionkey")))
+query("list_hash_ordered", "SELECT true AS same, false AS turned")(
+    lambda s, sf: (lambda x: seq.hash_(x).crossJoin(seq.hash_(x.repartition(3)).withColumnRenamed("hash", "h2")).crossJoin(seq.hash_(seq.reverse(x)).withColumnRenamed("hash", "h3")).select((F.col("hash") == F.col("h2")).alias("same"), (F.col("hash") == F.col("h3")).alias("turned")))(LE(s, sf))
+)  # rows of one aggregate each
+
+
+# Arrays and map columns.
+def per_user(s, sf):
+    items = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"])
+    return t(s, sf, "events").groupBy("user_id").agg(items.alias("a"))
+
+
+ARR = "(SELECT user_id, list(event_type ORDER BY ts, event_id) AS a FROM events GROUP BY 1)"
+for _name, _f, _s in (
+    ("append", lambda a: F.array_append(a, F.lit("z")), "list_append(a, 'z')"),
+    ("prepend", lambda a: F.array_prepend(a, F.lit("z")), "list_prepend('z', a)"),
+    ("slice", lambda a: nested.array_slice(a, 1, 3), "a[2:3]"),
+    ("insert", lambda a: bits.vector_insert(a, 1, F.lit("z")), "a[1:1] || ['z'] || a[2:]"),
+    ("remove", lambda a: nested.array_remove_at(a, 1), "a[1:1] || a[3:]"),
+    ("set", lambda a: nested.array_set(a, 1, F.lit("z")), "CASE WHEN len(a) > 1 THEN a[1:1] || ['z'] || a[3:] ELSE a END"),
+    ("concat", lambda a: F.concat(a, a), "a || a"),
+    ("reverse", F.reverse, "list_reverse(a)"),
+    ("sort", F.array_sort, "list_sort(a)"),
+):
+    query(f"array_ops_{_name}", f"SELECT user_id, array_to_string({_s}, ',') AS value FROM {ARR}")(lambda s, sf, f=_f: per_user(s, sf).select("user_id", F.array_join(f(F.col("a")), ",").alias("value")))
+
+
+def counts(s, sf):
+    by = t(s, sf, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"))
+
+
+CNT = "(SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)"
+query("map_col_merge", f"SELECT user_id, string_agg(event_type || '=' || 2 * n, ',' ORDER BY event_type) AS value FROM {CNT} GROUP BY 1")(lambda s, sf: counts(s, sf).select("user_id", nested.map_text(nested.merge(F.col("m"), F.col("m"), lambda x, y: x + y)).alias("value")))
+query("map_col_filter", f"SELECT user_id, coalesce(string_agg(event_type || '=' || n, ',' ORDER BY event_type) FILTER (event_type <> 'click'), '') AS value FROM {CNT} GROUP BY 1")(lambda s, sf: counts(s, sf).select("user_id", nested.map_text(nested.remove(F.col("m"), F.lit("click"))).alias("value")))
+query("map_col_transform", f"SELECT user_id, string_agg(event_type || '=' || n + 1, ',' ORDER BY event_type) AS value FROM (SELECT user_id, event_type, n FROM {CNT}) GROUP BY 1".replace("n + 1", "(n + 1)"))(lambda s, sf: counts(s, sf).select("user_id", nested.map_text(nested.map_values(F.col("m"), lambda _, v: v + 1)).alias("value")))
+
+# Virtual collections.
+query("virtual_list_squares", "SELECT range AS idx, range * range AS value FROM range(1000)")(lambda s, _: virtual.sequence(s, 1000, lambda i: i * i))
+query("virtual_set_evens", "SELECT c_custkey AS value, c_custkey % 2 = 0 AND c_custkey < 200 AS found FROM customer")(lambda s, sf: virtual.contains(probes(s, sf).withColumnRenamed("key", "value"), 100, lambda v: F.when(v % 2 == 0, F.expr("value div 2"))))
+query("virtual_map_sqrt", "SELECT range AS key, sqrt(range) AS value FROM range(1000)")(lambda s, _: virtual.map_(virtual.set_(s, 1000, lambda i: i), F.sqrt))
+
+
+# Ordered lookups.
+def price_probes(s, sf):
+    return t(s, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100).alias("probe")).unionByName(t(s, sf, "part").select((-F.col("p_partkey")).alias("id"), F.col("p_retailprice").alias("probe")))
+
+
+for _name, _floor, _incl, _op in (("sorted_floor", True, True, ">="), ("sorted_ceil", False, True, "<="), ("sorted_floor_exclusive", True, False, ">"), ("sorted_ceil_exclusive", False, False, "<")):
+    query(_name, f"SELECT id, probe, key, value FROM {{PR}} p ASOF LEFT JOIN {{PM}} m ON p.probe {_op} m.key")(lambda s, sf, fl=_floor, inc=_incl: ordered.lookup(PM(s, sf), price_probes(s, sf), fl, inc))
+query("sorted_floor_index", 'SELECT id, probe, idx AS "index" FROM {PR} p ASOF LEFT JOIN {PP} m ON p.probe >= m.key')(lambda s, sf: ordered.floor_index(positions(PM(s, sf), "key"), price_probes(s, sf)))
+query("sorted_ceil_index", 'SELECT id, probe, idx AS "index" FROM {PR} p ASOF LEFT JOIN {PP} m ON p.probe <= m.key')(lambda s, sf: ordered.ceil_index(positions(PM(s, sf), "key"), price_probes(s, sf)))
+query("sorted_slice", "SELECT * FROM {PM} WHERE key >= 950 AND key < 1200")(lambda s, sf: ordered.slice_(PM(s, sf), 950.0, 1200.0))
+query("sorted_slice_inclusive", "SELECT * FROM {PM} WHERE key > 950 AND key <= 1200")(lambda s, sf: ordered.slice_(PM(s, sf), 950.0, 1200.0, False, True))
+query("int_slice_across_zero", "SELECT * FROM {IM} WHERE key >= -5 AND key < 5")(lambda s, sf: ordered.slice_(IM(s, sf), -5, 5))
+query("float_slice", "SELECT * FROM {FM} WHERE key >= 1000 AND key < 2000")(lambda s, sf: ordered.slice_(FM(s, sf), 1000.0, 2000.0))
+query("sorted_first_last", "SELECT min(key) AS first_key, max(key) AS last_key FROM {PM}")(lambda s, sf: ordered.first_last(PM(s, sf)))
+query("float_negative_zero", "SELECT 0.0::DOUBLE AS key, 2 AS value")(lambda s, _: maps.from_rows(maps.float_keys(s.createDataFrame([(-0.0, 1), (0.0, 2)], "key double, value int")), F.col("key"), F.col("value"), F.col("value")))
+query("double_order_encoding", "SELECT true AS ok")(
+    lambda s, sf: t(s, sf, "customer").select("c_acctbal", encodings.double_to_long("c_acctbal").alias("n")).select("c_acctbal", "n", encodings.long_to_double("n").alias("back")).agg((F.max(F.when(F.col("back") == F.col("c_acctbal"), 0).otherwise(1)) == 0).alias("ok"))
+)
+
+# Split and recombine.
+query("split_hash_recombine", "SELECT key, value FROM {A}")(lambda s, sf: maps.split(A(s, sf), 4).groupBy("part", "key").agg(F.first("value").alias("value")).select("key", "value"))
+query("split_range_recombine", "SELECT key, value FROM {A}")(lambda s, sf: A(s, sf).repartitionByRange(4, "key"))
+
+
+# Text.
+def doc(s, sf, *cols):
+    return t(s, sf, "documents").select("doc_id", *cols)
+
+
+def X():
+    return F.col("text")
+
+
+for _name, _f, _s in (
+    ("size", lambda: text.size(X()), "length(text)"),
+    ("nth", lambda: text.nth(X(), 2), "unicode(substr(text, 3, 1))"),
+    ("insert", lambda: F.md5(text.insert(X(), 2, F.lit("é"))), "md5(substr(text, 1, 2) || 'é' || substr(text, 3))"),
+    ("remove", lambda: F.md5(text.remove(X(), 1, 4)), "md5(substr(text, 1, 1) || substr(text, 5))"),
+    ("slice", lambda: text.slice_(X(), 1, 12), "substr(text, 2, 11)"),
+    ("concat", lambda: F.md5(text.concat(X(), F.lit("|"), X())), "md5(text || '|' || text)"),
+    ("reverse", lambda: F.md5(text.reverse(X())), "md5(reverse(text))"),
+    ("utf16_length", lambda: text.utf16_length(X()).cast("long"), "length(text)"),
+    ("utf8_bytes", lambda: F.octet_length(text.utf8(X())), "strlen(text)"),
+    ("code_points", lambda: F.aggregate(text.code_points(X()), F.lit(0).cast("long"), lambda a, c: a + c), "CAST(list_sum(list_transform(string_split(text, ''), lambda c: unicode(c))) AS BIGINT)"),
+    ("utf16_units", lambda: F.size(text.utf16_units(X())).cast("long"), "length(text)"),
+):
+    query(f"text_{_name}", f"SELECT doc_id, {_s} AS value FROM documents")(lambda s, sf, f=_f: doc(s, sf, f().alias("value")))
+query("text_compare_order", "SELECT doc_id, row_number() OVER (ORDER BY length(text), text, doc_id) - 1 AS idx FROM documents")(lambda s, sf: positions(doc(s, sf, "text"), *text.order(X()), "doc_id").select("doc_id", "idx"))
+query("text_hash")(lambda s, sf: doc(s, sf, text.one_at_a_time(X()).alias("value")))
+
+# Bits.
+def K():
+    return F.col("p_partkey")
+
+
+TOP = "length(ltrim(bin(p_partkey), '0')) - 1"
+for _name, _f, _s in (
+    ("count", lambda: F.bit_count(K()), "bit_count(p_partkey)"),
+    ("test", lambda: bits.test(K(), 3), "(p_partkey >> 3) & 1 = 1"),
+    ("slice", lambda: bits.slice_(K(), 2, 6), "(p_partkey >> 2) & 15"),
+    ("lowest", lambda: bits.lowest_bit(K()), "p_partkey & -p_partkey"),
+    ("highest", lambda: bits.highest_bit(K()), f"1::BIGINT << ({TOP})::BIGINT"),
+    ("log2", lambda: bits.log2_floor(K()), TOP),
+    ("log2_ceil", lambda: bits.log2_ceil(K()), f"{TOP} + CASE WHEN bit_count(p_partkey) = 1 THEN 0 ELSE 1 END"),
+    ("power_of_two", lambda: bits.is_power_of_two(K()), "bit_count(p_partkey) = 1"),
+    ("branching", lambda: bits.branching_bit(K(), F.lit(7).cast("long")), "CASE WHEN p_partkey = 7 THEN -1 ELSE length(ltrim(bin(xor(p_partkey, 7::BIGINT)), '0')) - 1 END"),
+    ("interleave", lambda: bits.interleave([K(), K()], 20), "CAST(list_sum(list_transform(range(20), lambda b: ((p_partkey >> b::BIGINT) & 1) * 3 * (1::BIGINT << (2 * b)::BIGINT))) AS BIGINT)"),
+    ("positions", lambda: F.array_join(bits.positions(K()), ","), "array_to_string(list_filter(range(64), lambda b: (p_partkey >> b::BIGINT) & 1 = 1), ',')"),
+    ("rank", lambda: bits.rank(K(), F.lit(16).cast("long")), "bit_count(p_partkey & 15)"),
+):
+    query(f"bit_{_name}", f"SELECT p_partkey, {_s} AS value FROM (SELECT p_partkey + 1 AS p_partkey FROM part)")(lambda s, sf, f=_f: t(s, sf, "part").select((K() + 1).alias("p_partkey")).select("p_partkey", f().alias("value")))
+query("bitset_insert_point", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey < 60 THEN p_partkey // 3 ELSE -(least((p_partkey + 2) // 3, 20) + 1) END AS value FROM part")(
+    lambda s, sf: t(s, sf, "part").select("p_partkey", bits.insertion_point(F.array(*[F.lit(3 * i).cast("long") for i in range(20)]), K()).alias("value"))
+)
+
+# Graphs.
+query("graph_vertices", "SELECT id FROM {DV}")(lambda s, sf: DG(s, sf).vertices)
+query("graph_edges", "SELECT * FROM {DG}")(lambda s, sf: DG(s, sf).edges)
+query("graph_edge_or_default", "SELECT id AS src, id AS dst, coalesce(e.value, -1) AS value FROM {DV} LEFT JOIN {DG} e ON e.src = id AND e.dst = id")(lambda s, sf: (lambda x: g.edge(x, x.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst")), F.lit(-1)))(DG(s, sf)))
+query("graph_out", "SELECT id, coalesce(array_to_string(list_sort(list(e.dst) FILTER (e.dst IS NOT NULL)), ','), '') AS neighbours FROM {DV} LEFT JOIN {DG} e ON e.src = id GROUP BY id")(lambda s, sf: g.out(DG(s, sf)).select("id", F.array_join("neighbours", ",").alias("neighbours")))
+query("graph_in", "SELECT id, coalesce(array_to_string(list_sort(list(e.src) FILTER (e.src IS NOT NULL)), ','), '') AS neighbours FROM {DV} LEFT JOIN {DG} e ON e.dst = id GROUP BY id")(lambda s, sf: g.in_(DG(s, sf)).select("id", F.array_join("neighbours", ",").alias("neighbours")))
+query("graph_select", "SELECT * FROM {DG} WHERE src % 2 = 0 AND dst % 2 = 0")(lambda s, sf: (lambda x: g.select(x, x.vertices.where("id % 2 = 0")).edges)(DG(s, sf)))
+query("graph_replace", "SELECT CASE WHEN src = 'click' THEN 'view' ELSE src END AS src, CASE WHEN dst = 'click' THEN 'view' ELSE dst END AS dst, max(value) AS value FROM {TR} GROUP BY 1, 2")(lambda s, sf: g.replace(TR(s, sf), "click", "view").edges)
+query("graph_transpose", "SELECT dst AS src, src AS dst, value FROM {DG}")(lambda s, sf: g.transpose(DG(s, sf)).edges)
+query("graph_merge", "SELECT src, dst, CASE WHEN a.value IS NULL THEN b.value WHEN b.value IS NULL THEN a.value ELSE a.value + b.value END AS value FROM {DG} a FULL JOIN (SELECT dst AS src, src AS dst, value FROM {DG}) b USING (src, dst)")(lambda s, sf: (lambda x: g.merge_graphs(x, g.transpose(x), lambda a, b: a + b).edges)(DG(s, sf)))
+query("graph_link", "SELECT src, dst, CASE WHEN b.value IS NULL THEN a.value ELSE b.value END AS value FROM {DG} a FULL JOIN (SELECT id AS src, id AS dst, 9 AS value FROM {DV}) b USING (src, dst)")(lambda s, sf: (lambda x: g.link(x, x.vertices.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(9).cast("long").alias("value"))).edges)(DG(s, sf)))
+query("graph_unlink", "SELECT * FROM {DG} WHERE src <> dst")(lambda s, sf: (lambda x: g.unlink(x, x.edges.where("src = dst")).edges)(DG(s, sf)))
+query("graph_add_remove_vertex", "SELECT * FROM {DG} WHERE src % 7 <> 0 AND dst % 7 <> 0")(lambda s, sf: (lambda x: g.remove_vertices(g.add_vertices(x, s.range(7, 8)), x.vertices.where("id % 7 = 0")).edges)(DG(s, sf)))
+query("graph_map_edges", "SELECT src, dst, src + dst + value AS value FROM {DG}")(lambda s, sf: g.map_edges(DG(s, sf), lambda a, b, v: a + b + v).edges)
+query("graph_undirected_edge", "SELECT src, dst, value FROM (SELECT dst AS src, src AS dst, 1 AS value FROM {UG})")(lambda s, sf: (lambda x: g.edge(x, x.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), F.lit(0)))(UG(s, sf)))
+query("graph_equals", "SELECT true AS equal")(lambda s, sf: g.equals(DG(s, sf), g.transpose(g.transpose(DG(s, sf)))))
+query("dag_top", "SELECT id FROM (SELECT src AS id FROM {DAGF} UNION SELECT dst FROM {DAGF}) WHERE id NOT IN (SELECT dst FROM {DAGF})")(lambda s, sf: g.top(DAGF(s, sf)))
+query("dag_bottom", "SELECT id FROM (SELECT src AS id FROM {DAGF} UNION SELECT dst FROM {DAGF}) WHERE id NOT IN (SELECT src FROM {DAGF})")(lambda s, sf: g.bottom(DAGF(s, sf)))
+query("dag_levels", "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {DAGF}), p(id, level) AS (SELECT id, 0 FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) UNION SELECT e.dst, p.level + 1 FROM p JOIN e ON e.src = p.id) SELECT id, CAST(max(level) AS INTEGER) AS level FROM p GROUP BY id")(lambda s, sf: traverse.levels(DAGF(s, sf)))
+query("dag_is_acyclic", "SELECT true AS dag, false AS digraph")(lambda s, sf: s.range(1).select(F.lit(traverse.is_acyclic(DAGF(s, sf))).alias("dag"), F.lit(traverse.is_acyclic(TR(s, sf))).alias("digraph")))
+
+
+def start(x: Graph) -> DataFrame:
+    """The vertex with most edges out (the least of them): a start that reaches something at every scale."""
+    return x.edges.groupBy(F.col("src").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
+
+
+FIRST = "(SELECT src FROM e GROUP BY src ORDER BY count(*) DESC, src LIMIT 1)"
+BFS = f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {{DG}}), p(id, level) AS (SELECT {FIRST}, 0 UNION SELECT e.dst, p.level + 1 FROM p JOIN e ON e.src = p.id WHERE p.level < 60) "
+query("graph_bfs_levels", BFS + "SELECT id, CAST(min(level) AS INTEGER) AS level FROM p GROUP BY id")(lambda s, sf: (lambda x: traverse.bfs_levels(start(x), x.edges))(DG(s, sf)))
+query("graph_reachable", BFS + "SELECT DISTINCT id FROM p")(lambda s, sf: (lambda x: traverse.bfs_levels(start(x), lambda _: x.edges).select("id"))(DG(s, sf)))
+CLOSED = "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {UB}), p(id, o) AS (SELECT id, id FROM {UV} UNION SELECT e.dst, p.o FROM p JOIN e ON e.src = p.id) "
+query("graph_connected_components", CLOSED + "SELECT id, min(o) AS component FROM p GROUP BY id")(lambda s, sf: traverse.connected_components(UG(s, sf)))
+SCC = "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {DG}), p(o, id) AS (SELECT id, id FROM {DV} UNION SELECT p.o, e.dst FROM p JOIN e ON e.src = p.id), c AS (SELECT a.id, min(a.o) AS component FROM p a JOIN p b ON a.o = b.id AND a.id = b.o GROUP BY a.id) "
+query("graph_scc", SCC + "SELECT * FROM c")(lambda s, sf: traverse.strongly_connected(DG(s, sf)))
+query("graph_scc_no_singletons", SCC + "SELECT * FROM c WHERE component IN (SELECT component FROM c GROUP BY 1 HAVING count(*) > 1)")(lambda s, sf: traverse.strongly_connected(DG(s, sf), False))
+query("graph_scc_edges", SCC + "SELECT a.component, e.src, e.dst, e.value FROM e JOIN c a ON a.id = e.src JOIN c b ON b.id = e.dst WHERE a.component = b.component")(lambda s, sf: traverse.strongly_connected_edges(DG(s, sf)))
+query("graph_cycles", "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {TR}), p(first, last, path, n) AS (SELECT src, dst, [src, dst], 1 FROM e WHERE dst >= src UNION ALL SELECT first, e.dst, list_append(path, e.dst), n + 1 FROM p JOIN e ON e.src = p.last WHERE p.last <> p.first AND e.dst >= p.first AND (e.dst = p.first OR NOT list_contains(path, e.dst))) SELECT array_to_string(path, '>') AS path FROM p WHERE first = last")(lambda s, sf: traverse.cycles(TR(s, sf)).select(F.array_join("path", ">").alias("path")))
+query("graph_articulation_points", "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {UB}), v AS MATERIALIZED (SELECT * FROM {UV}), p(x, id, o) AS (SELECT x.id, e.dst, e.dst FROM v x JOIN e ON e.src = x.id WHERE e.dst <> x.id UNION SELECT p.x, e.dst, p.o FROM p JOIN e ON e.src = p.id WHERE e.dst <> p.x), n AS (SELECT e.src AS x, e.dst AS o FROM e WHERE e.src <> e.dst) SELECT DISTINCT a.x AS id FROM n a JOIN n b ON a.x = b.x AND a.o < b.o WHERE NOT EXISTS (FROM p WHERE p.x = a.x AND p.o = a.o AND p.id = b.o)")(lambda s, sf: traverse.articulation_points(UG(s, sf)))
+query("graph_biconnected")(lambda s, sf: traverse.biconnected_components(UG(s, sf)))
+
+
+def paths(s, sf, starts):
+    x = DG(s, sf)
+    return traverse.shortest_path(x, starts(x), F.col("id") % 10 == 3, F.col("value") + F.col("dst") % 4).select(F.col("cost").cast("long").alias("cost"))
+
+
+COST = "p(id, cost, n) AS (SELECT id, 0, 0 FROM s UNION SELECT e.dst, p.cost + e.value + e.dst % 4, n + 1 FROM p JOIN e ON e.src = p.id WHERE n < 40 AND cost < 120) SELECT CAST(min(cost) AS BIGINT) AS cost FROM p WHERE n > 0 AND id % 10 = 3 HAVING count(*) > 0"
+query("graph_shortest_path_cost", f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {{DG}}), s AS (SELECT {FIRST} AS id), " + COST)(lambda s, sf: paths(s, sf, start))
+query("graph_shortest_path_multi_source", "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {DG}), s AS (SELECT id FROM {DV} WHERE id % 97 = 0), " + COST)(lambda s, sf: paths(s, sf, lambda x: x.vertices.where("id % 97 = 0")))
