@@ -49,8 +49,10 @@ class Words:
 def train(texts: list[bytes], labels: list[int], width: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 37) -> tuple[np.ndarray, float]:
     """(folded weights by bucket, bias): the log-odds of label 1 is their average over the features plus the bias.
 
-    The classes weigh the same in the loss, so the rarer one is not drowned.
+    The classes weigh the same in the loss, so the rarer one is not drowned. Few rows are gone through
+    more often than ``epochs`` times, up to 8000 steps.
     """
+    epochs = max(epochs, 8000 // max(1, len(labels)))
     rng = np.random.default_rng(seed)
     known = Words()
     rows = []
