@@ -30,7 +30,7 @@ def features(word: bytes) -> list[int]:
 
 
 class Words:
-    """Feature lists or folded sums by word, remembered up to ``memory`` words."""
+    """Packed 32-bit features or folded sums by word, remembered up to ``memory`` words."""
 
     def __init__(self, weights: np.ndarray | None = None, memory: int = 300_000):
         self.weights, self.memory, self.known = weights, memory, {}
@@ -42,7 +42,7 @@ class Words:
         for w in set(words):
             if w not in known:
                 f = features(w)
-                known[w] = f if weights is None else (float(weights[f].sum()), len(f))
+                known[w] = np.array(f, np.int32).tobytes() if weights is None else (float(weights[f].sum()), len(f))
         return [known[w] for w in words]
 
 
@@ -57,8 +57,9 @@ def train(texts: list[bytes], labels: list[int], width: int = 16, epochs: int =
     known = Words()
     rows = []
     for t in texts:
-        f = np.fromiter((x for w in known(t.split()) for x in w), np.int64)
-        rows.append(np.unique(f, return_counts=True) + (max(1, len(f)),))
+        f = np.frombuffer(b"".join(known(t.split())), np.int32)
+        buckets, counts = np.unique(f, return_counts=True)
+        rows.append((buckets, counts.astype(np.int32), max(1, len(f))))
     table_ = (rng.random((BUCKETS, width), np.float32) - 0.5) / width
     layer, bias = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
     y = np.array(labels)
