@@ -25,7 +25,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints within 3 bits the row with the least doc_id stays."""
+    """Of each component of fingerprints within 3 bits the document with the least doc_id stays.
+
+    Rows that repeat a doc_id are one document and stay or go together. Rows with a null doc_id stay,
+    null and wordless texts are copies of each other, and an empty table gives an empty one.
+    """
     found = simhash.near_duplicates(docs)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
