@@ -30,3 +30,11 @@ def test_empty(spark, sf):
     for _, stage in p.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_near_duplicate_edges(spark, sf):
+    long = " ".join(f"word{i}" for i in range(400))
+    rows = [(3, long, "en", "a", 1), (3, long, "en", "a", 1), (7, long, "en", "b", 1), (None, long, "en", "a", 1), (9, None, None, None, None), (8, " ", "en", "a", 1), (5, long[::-1], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = [r.doc_id for r in p.near_duplicate_stage(spark, docs, sf).collect()]
+    assert sorted(out, key=str) == [3, 3, 5, 8, None]
