@@ -245,6 +245,49 @@ def test_token_counts_equal_the_library(spark, sf, awkward):
     assert got[0].n_tokens == got[0].n_bytes == 0 and not got[0].over_limit and got[5].over_limit
 
 
+@pytest.mark.parametrize("name, proof", [("byte_bpe_50k.json", "space"), ("piece_bpe_32k.model", "space"), ("word_bpe_49k.json", "parts")])
+def test_token_counts_of_every_vocabulary(spark, sf, name, proof):
+    import public_tokenizers
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path(name)
+    rng = random.Random(9)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    texts += ["", "  a  b ", "a<|endoftext|>b c </s> d", "x" * 3000, " " * 900, "É é 😀\x01 x\n\n y"]
+    texts.append(" ".join("".join(rng.choice("abcé'1-😀") for _ in range(rng.randint(1, 12))) for _ in range(4000)))
+    texts.append("".join(rng.choice("ab<|>'1-  \n") for _ in range(9000)))
+    if name.endswith(".model"):
+        want = [len(x) for x in SentencePieceProcessor(model_file=file).encode(texts)]
+    else:
+        want = [len(x) for x in Tokenizer.from_file(file).encode_batch(texts, add_special_tokens=False)]
+    counter = tokens.Counter(file, chunk=200, overlap=4)
+    assert counter.proof == proof and counter.counts([*texts, None]) == [*want, 0]
+    assert tokens.Counter(file).counts(texts) == want
+    counter.proof = "none"
+    assert counter.counts(texts[:20]) == want[:20]
+
+
+def test_benchmark_windows_that_share_a_hash(monkeypatch):
+    rng = random.Random(10)
+    items = [(str(k), " ".join(rng.choice("abcd") for _ in range(rng.randint(0, 9))).encode()) for k in range(40)] + [("0", b"a b"), (None, b"d d d d")]
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 60))).encode() for _ in range(30)] + [None, b""]
+    monkeypatch.setattr(decontaminate, "mixed", lambda h: h & np.uint64(3))
+    counts, bitmaps, found = decontaminate.scan(decontaminate.Grams(items, 4), texts, [b""] * len(texts))
+    for t, n, bitmap, ids in zip(texts, counts, bitmaps, found, strict=True):
+        w, hit, owners = (t or b"").split(), set(), set()
+        for item, text in items:
+            own = text.split()
+            size = min(4, len(own))
+            windows = {tuple(own[i : i + size]) for i in range(len(own) - size + 1)} if size else set()
+            for i in range(len(w)):
+                if tuple(w[i : i + size]) in windows:
+                    hit |= set(range(i, i + size))
+                    owners.add(item)
+        bits = np.flatnonzero(np.unpackbits(np.frombuffer(bitmap, np.uint8))).tolist()
+        assert n == len(w) and bits == sorted(hit) and ids == sorted(owners - {None})
+
+
 def test_quality_held_out(spark, sf, awkward):
     docs, labels = (spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels)
