@@ -38,31 +38,68 @@ def rolled(ids: np.ndarray, length: int) -> np.ndarray:
 
 
 class Grams:
-    """The windows of some benchmark items: word numbers, and by window length the sorted hash set."""
+    """The windows of some benchmark items: word numbers, and by window length the sorted hash set.
+
+    All is held in flat arrays, about 100 bytes a benchmark word at the peak of building: the items' word
+    numbers once, and of each window a hash, its first place and its owners.
+    """
 
     def __init__(self, items: list[tuple[str | None, bytes | None]], size: int):
         self.vocabulary: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], set[int]]] = {}
         self.items: list[str | None] = sorted({i for i, _ in items if i is not None}) + [None]
         number = {x: k for k, x in enumerate(self.items)}
+        pieces: list[np.ndarray] = [np.zeros(0, np.uint32)]
+        windows: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        end = 0
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            length = min(size, len(ids))
-            for i in range(len(ids) - length + 1 if ids else 0):
-                windows.setdefault(length, {}).setdefault(tuple(ids[i : i + length]), set()).add(number[item])
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)], np.uint32)
+            if length := min(size, len(ids)):
+                h = rolled(ids.astype(np.uint64), length)
+                windows.setdefault(length, []).append((h, end + np.arange(len(h)), np.full(len(h), number[item], np.int32)))
+            pieces.append(ids)
+            end += len(ids)
+        self.ids = np.concatenate(pieces)
         self.sets = []
-        for length, found in sorted(windows.items()):
-            grams = np.array(list(found), np.uint64).reshape(len(found), length)
-            h = mixed_rows(grams)
+        for length in sorted(windows):
+            h, at, owner = (np.concatenate(x) for x in zip(*windows.pop(length), strict=True))
             order = np.argsort(h, kind="stable")
-            owners = [sorted(x) for x in found.values()]
+            hashes, places, which = self.distinct(h[order], at[order], length)
+            pairs = np.unique(which << 32 | owner[order])
+            begin = np.searchsorted(pairs >> 32, np.arange(len(hashes) + 1))
             bits = np.zeros(1 << 16, bool)
-            bits[h >> np.uint64(48)] = True
-            self.sets.append((length, h[order], grams[order], [owners[i] for i in order], bits))
+            bits[hashes >> np.uint64(48)] = True
+            self.sets.append((length, hashes, places, (begin, pairs.astype(np.int32)), bits))
+
+    def distinct(self, h: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes (sorted) and places of the distinct windows, and which of them stands at each ``at``; ``h`` is sorted."""
+        left, which, hashes, places, n = np.arange(len(h)), np.zeros(len(h), np.int64), [], [], 0
+        while len(left):  # a second time only for windows that differ from the first of their hash
+            own, here = h[left], at[left]
+            change = np.r_[True, own[1:] != own[:-1]]
+            first = np.flatnonzero(change)
+            group = np.cumsum(change) - 1
+            same = self.equal(here, here[first][group], length)
+            which[left[same]] = n + group[same]
+            hashes.append(own[first])
+            places.append(here[first])
+            n, left = n + len(first), left[~same]
+        hashes, places = np.concatenate(hashes), np.concatenate(places)
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(n, np.int64)
+        rank[order] = np.arange(n)
+        return hashes[order], places[order], rank[which]
+
+    def equal(self, a: np.ndarray, b: np.ndarray, length: int, ids: np.ndarray | None = None) -> np.ndarray:
+        """Whether the words from ``a`` (in ``ids``, by default the items') and from ``b`` on are the same."""
+        ids = self.ids if ids is None else ids
+        same = np.ones(len(a), bool)
+        for k in range(length):
+            same &= ids[a + k] == self.ids[b + k]
+        return same
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[list[int]]]]:
-        """For each length: positions of true occurrences and the number of the window found there."""
-        for length, hashes, grams, owners, bits in self.sets:
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]]:
+        """For each length: positions of true occurrences, the number of the window found there, and owners by number."""
+        for length, hashes, places, owners, bits in self.sets:
             known = np.cumsum(np.r_[0, ids == 0])
             h = rolled(ids, length)
             if not len(h):
@@ -71,20 +108,13 @@ class Grams:
             left, right = np.searchsorted(hashes, h[at]), np.searchsorted(hashes, h[at], "right")
             at, left, right = (x[right > left] for x in (at, left, right))
             while len(at):  # verify, also where different windows share a hash
-                same = (ids[at[:, None] + np.arange(length)] == grams[left]).all(axis=1)
+                same = self.equal(at, places[left], length, ids)
                 yield length, at[same], left[same], owners
                 left = left + 1
                 more = ~same & (left < right)
                 at, left, right = at[more], left[more], right[more]
 
 
-def mixed_rows(grams: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(grams), np.uint64)
-    for k in range(grams.shape[1]):
-        h = h * BASE + grams[:, k]
-    return mixed(h)
-
-
 def scan(grams: Grams, texts: list[bytes | None], known: list[bytes | None]) -> tuple[list[int], list[bytes], list[list[str]]]:
     """By text: words, the bitmap of hit words (with ``known`` hits), the ids of items found."""
     counts, pieces, get = [], [np.zeros(1, np.uint64)], grams.vocabulary.get
@@ -95,12 +125,12 @@ def scan(grams: Grams, texts: list[bytes | None], known: list[bytes | None]) ->
     ids = np.concatenate(pieces)  # a zero, which no window holds, stands between texts
     starts = np.cumsum(np.r_[1, np.array(counts, np.int64) + 1])
     marks, found = np.zeros(len(ids) + 1, np.int64), [set() for _ in texts]
-    for length, at, which, owners in grams.hits(ids):
+    for length, at, which, (begin, own) in grams.hits(ids):
         np.add.at(marks, at, 1)
         np.add.at(marks, at + length, -1)
         doc = np.searchsorted(starts, at, "right") - 1
         for d, w in {*zip(doc.tolist(), which.tolist(), strict=True)}:
-            found[d].update(owners[w])
+            found[d].update(own[begin[w] : begin[w + 1]].tolist())
     hit = np.cumsum(marks)[:-1] > 0
     bitmaps = []
     for k, n in enumerate(counts):
