@@ -295,9 +295,11 @@ def shared_anchors() -> Callable:
         good = (size > 1) | (np.bitwise_or.reduceat(entry, start) & np.uint64(1) > 0)
         keep = np.repeat(good, size)
         h, src = h[keep], src[keep]
+        if not len(src):  # nothing in this shard is shared
+            return
         order = np.argsort(src, kind="stable")
         h, src = h[order], src[order]
-        cuts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.zeros(0, np.int64)
+        cuts = np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
         for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(src)], strict=True):
             yield int(src[a]), NOTE, pid, six(h[a:b])
 
