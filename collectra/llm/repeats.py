@@ -93,7 +93,7 @@ class Windows:
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, data: np.ndarray, length: int):
         self.ids, self.lengths, self.data, self.length = ids, lengths, data, length
         self.starts = np.cumsum(lengths) - lengths
-        k = 2 * length // 5
+        k = max(2 * length // 5, length - 63)  # at most 64 windows name one anchor: a word of bits holds them
         doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
         count = len(data) - length + 1
         none = np.zeros(0, np.int64)
