@@ -479,18 +479,21 @@ def removals(length: int) -> Callable:
     return lambda batches: (b for run in by_pid(batches) for b in folder(run))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, memory: int = 128 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, memory: int = 128 << 20, folder_bytes: int = 64 << 20) -> DataFrame:
     """(doc_id, n_bytes, spans: removed [start, end) in bytes, kept: the remaining bytes) of every row.
 
     Bytes covered by a ``length``-byte string that also starts in a document with a smaller doc_id go.
     Null text: empty. A null doc_id counts as greater than all others; rows that share an id are not
     smaller than each other. Texts shorter than ``length`` stay whole. Empty table: no rows. Other columns,
-    whatever their names, are left out. ``memory`` is what a shard's queues hold before they spill.
+    whatever their names, are left out. ``memory`` is what a shard's queues hold before they spill. There
+    are as many folders and shards as the session has shuffle partitions, and more where a folder would
+    else get over ``folder_bytes`` of text, so a task's memory does not grow with the corpus.
     """
     if not 8 <= length <= 128:
         raise ValueError("length is 8 to 128")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("text"))
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // folder_bytes))
     folders = plain.mapInArrow(texts(parts, length), SCHEMA)
     sent = dealt_rows(folders, parts).mapInArrow(anchors(parts, length), SCHEMA)
     notes = cut(dealt_rows(sent, parts).mapInArrow(shared_anchors(), SCHEMA))

@@ -140,20 +140,44 @@ def test_induced_order_and_common_prefixes():
 def test_repeats_against_brute_force(spark, sf, awkward, shards):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60).unionByName(awkward.select((F.col("doc_id") + 10**6).alias("doc_id"), "text"))
     docs = docs.repartition(shards)
+    assert sorted(removed(repeats.remove_repeats(docs))) == sorted(removed_by_force(docs, 50))
+    assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_repeats_where_nothing_repeats(spark):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, "".join(rng.choice("abcdefghijklmnop ") for _ in range(300))) for i in range(20)], "doc_id long, text string")
+    assert all(not r.spans and r.n_bytes == len(r.kept) == 300 for r in repeats.remove_repeats(docs).collect())
+
+
+@pytest.mark.parametrize("length", [8, 105, 106, 128])
+def test_repeats_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    whole = "".join(rng.choice("abcdefgh é") for _ in range(3000))
+    texts = [whole[a : a + n] for a, n in ((rng.randrange(2500), rng.randint(0, 400)) for _ in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lone = docs.where("doc_id = 0")
+    assert sorted(removed(repeats.remove_repeats(lone, length))) == sorted(removed_by_force(lone, length))
+    assert sorted(removed(repeats.remove_repeats(docs, length, folder_bytes=1000))) == sorted(removed_by_force(docs, length))
+
+
+def removed(found):
+    return [(r.doc_id if r.doc_id is not None else 1 << 62, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), bytes(r.kept)) for r in found.collect()]
+
+
+def removed_by_force(docs, length):
     rows = sorted(((r.doc_id if r.doc_id is not None else 1 << 62), (r.text or "").encode()) for r in docs.collect())
     first, want = {}, []
     for i, b in rows:
-        for p in range(len(b) - 49):
-            first.setdefault(b[p : p + 50], i)
+        for p in range(len(b) - length + 1):
+            first.setdefault(b[p : p + length], i)
     for i, b in rows:
         gone = bytearray(len(b))
-        for p in range(len(b) - 49):
-            if first[b[p : p + 50]] < i:
-                gone[p : p + 50] = b"\1" * 50
+        for p in range(len(b) - length + 1):
+            if first[b[p : p + length]] < i:
+                gone[p : p + length] = b"\1" * length
         want.append((i, len(b), sum(gone), len(re.findall(rb"\x01+", bytes(gone))), bytes(x for x, g in zip(b, gone) if not g)))
-    got = [(r.doc_id if r.doc_id is not None else 1 << 62, r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), bytes(r.kept)) for r in repeats.remove_repeats(docs).collect()]
-    assert sorted(got) == sorted(want)
-    assert repeats.remove_repeats(docs.limit(0)).count() == 0
+    return want
 
 
 def test_fill_is_an_exact_subset_sum():
