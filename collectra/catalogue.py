@@ -152,6 +152,7 @@ query("map_get_default", "SELECT c_custkey AS key, CASE WHEN a.key IS NULL THEN
 query("map_get_null_value", "SELECT c_custkey AS key, CASE WHEN a.key IS NULL THEN -1.0 WHEN a.key % 3 = 0 THEN NULL ELSE a.value END AS value, a.key IS NOT NULL AS found FROM customer LEFT JOIN {A} a ON a.key = c_custkey")(lambda s, sf: maps.get(nulled(A(s, sf)), probes(s, sf), F.lit(-1.0)))
 query("map_get_or_create", "SELECT c_custkey AS key, coalesce(CASE WHEN a.key % 3 <> 0 THEN a.value END, CAST(c_custkey AS DOUBLE)) AS value FROM customer LEFT JOIN {A} a ON a.key = c_custkey")(lambda s, sf: maps.get_or_create(nulled(A(s, sf)), probes(s, sf), lambda k: k.cast("double")))
 query("map_from_last_wins", "SELECT o_custkey AS key, arg_max(o_totalprice, o_orderkey) AS value FROM orders GROUP BY 1")(lambda s, sf: maps.from_rows(t(s, sf, "orders"), F.col("o_custkey"), F.col("o_totalprice"), F.col("o_orderkey")))
+query("map_collect_merge", "SELECT o_custkey AS key, count(*) AS value FROM orders GROUP BY 1")(lambda s, sf: maps.from_rows(t(s, sf, "orders"), F.col("o_custkey"), F.col("o_totalprice"), F.col("o_orderkey"), F.count))
 query("map_put_batch", "SELECT key, coalesce(b.value, a.value) AS value FROM {A} a FULL JOIN (SELECT o_custkey AS key, arg_max(o_totalprice, o_orderkey) AS value FROM orders WHERE o_orderpriority = '5-LOW' GROUP BY 1) b USING (key)")(
     lambda s, sf: maps.put(A(s, sf), t(s, sf, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("key"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("seq")))
 )
@@ -190,6 +191,13 @@ query("set_nth", "SELECT * FROM {SP} WHERE idx = 10")(lambda s, sf: nth(PS(s, sf
 query("set_slice_indices", "SELECT value, idx - 5 AS idx FROM {SP} WHERE idx BETWEEN 5 AND 24")(lambda s, sf: slice_indices(PS(s, sf), 5, 25))
 
 # Sequences.
+def popped(x):
+    first, rest = seq.pop_first(x)
+    last, rest = seq.pop_last(rest)
+    one = first.withColumnRenamed("value", "first").crossJoin(last.withColumnRenamed("value", "last"))
+    return one.crossJoin(rest.agg(F.count(F.lit(1)).alias("rest")))  # rows of one aggregate each
+
+
 N = "(SELECT count(*) FROM events)"
 query("list_nth", "SELECT value FROM {LE} WHERE idx = 7")(lambda s, sf: seq.nth(LE(s, sf), 7))
 query("list_nth_default", "SELECT 'none' AS value")(lambda s, sf: seq.nth(LE(s, sf), -1, "none"))
@@ -199,6 +207,10 @@ query("list_iterator_from", "SELECT * FROM {LE} WHERE idx >= 50")(lambda s, sf:
 query("list_reverse", f"SELECT {N} - 1 - idx AS idx, value FROM {{LE}}")(lambda s, sf: seq.reverse(LE(s, sf)))
 query("list_concat", f"SELECT * FROM {{LE}} UNION ALL SELECT idx + {N}, value FROM {{LE}}")(lambda s, sf: seq.concat(LE(s, sf), LE(s, sf)))
 query("list_set", "SELECT idx, CASE WHEN idx = 3 THEN 'x' ELSE value END AS value FROM {LE}")(lambda s, sf: seq.set_(LE(s, sf), 3, "x"))
+query("list_pop_first_last", f"SELECT (SELECT value FROM {{LE}} WHERE idx = 0) AS first, (SELECT value FROM {{LE}} WHERE idx = {N} - 1) AS last, {N} - 2 AS rest")(lambda s, sf: popped(LE(s, sf)))
+query("list_drop", "SELECT idx - 5 AS idx, value FROM {LE} WHERE idx >= 5")(lambda s, sf: seq.drop(LE(s, sf), 5))
+query("list_filter", "SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, value FROM {LE} WHERE value <> 'click'")(lambda s, sf: seq.filter_(LE(s, sf), lambda v: v != "click"))
+query("list_flat_map", "SELECT 2 * idx + k AS idx, CASE WHEN k = 0 THEN value ELSE upper(value) END AS value FROM {LE}, (VALUES (0), (1)) AS t(k)")(lambda s, sf: seq.flat_map(LE(s, sf), lambda v: F.array(v, F.upper(v))))
 query("list_update", "SELECT idx, CASE WHEN idx = 3 THEN upper(value) ELSE value END AS value FROM {LE}")(lambda s, sf: seq.update(LE(s, sf), 3, F.upper))
 query("list_lazy_map", "SELECT idx, upper(value) AS value FROM {LE}")(lambda s, sf: seq.lazy_map(LE(s, sf), F.upper))
 query("list_add_first_last", f"SELECT 0 AS idx, 'a' AS value UNION ALL SELECT idx + 1, value FROM {{LE}} UNION ALL SELECT {N} + 1, 'z'")(lambda s, sf: seq.add_last(seq.add_first(LE(s, sf), "a"), "z"))
@@ -232,6 +244,9 @@ for _name, _f, _s in (
     ("concat", lambda a: F.concat(a, a), "a || a"),
     ("reverse", F.reverse, "list_reverse(a)"),
     ("sort", F.array_sort, "list_sort(a)"),
+    ("set_union", lambda a: F.array_sort(F.array_union(a, F.array(F.lit("z"), F.lit("click")))), "list_sort(list_distinct(a || ['z', 'click']))"),
+    ("set_difference", lambda a: F.array_sort(F.array_except(a, F.array(F.lit("click")))), "list_sort(list_distinct(list_filter(a, lambda x: x <> 'click')))"),
+    ("set_intersection", lambda a: F.array_sort(F.array_intersect(a, F.array(F.lit("click"), F.lit("view")))), "list_sort(list_distinct(list_filter(a, lambda x: x IN ('click', 'view'))))"),
 ):
     query(f"array_ops_{_name}", f"SELECT user_id, array_to_string({_s}, ',') AS value FROM {ARR}")(lambda s, sf, f=_f: per_user(s, sf).select("user_id", F.array_join(f(F.col("a")), ",").alias("value")))
 
@@ -246,6 +261,22 @@ query("map_col_merge", f"SELECT user_id, string_agg(event_type || '=' || 2 * n,
 query("map_col_filter", f"SELECT user_id, coalesce(string_agg(event_type || '=' || n, ',' ORDER BY event_type) FILTER (event_type <> 'click'), '') AS value FROM {CNT} GROUP BY 1")(lambda s, sf: counts(s, sf).select("user_id", nested.map_text(nested.remove(F.col("m"), F.lit("click"))).alias("value")))
 query("map_col_transform", f"SELECT user_id, string_agg(event_type || '=' || n + 1, ',' ORDER BY event_type) AS value FROM (SELECT user_id, event_type, n FROM {CNT}) GROUP BY 1".replace("n + 1", "(n + 1)"))(lambda s, sf: counts(s, sf).select("user_id", nested.map_text(nested.map_values(F.col("m"), lambda _, v: v + 1)).alias("value")))
 
+
+
+def clicks(m):
+    return F.map_filter(m, lambda k, _: k == "click")
+
+
+for _name, _f, _s in (
+    ("union", lambda m: nested.union(m, nested.map_values(clicks(m), lambda _, v: v + 100)), "string_agg(event_type || '=' || CASE WHEN event_type = 'click' THEN n + 100 ELSE n END, ',' ORDER BY event_type)"),
+    ("difference", lambda m: nested.difference(m, clicks(m)), "coalesce(string_agg(event_type || '=' || n, ',' ORDER BY event_type) FILTER (event_type <> 'click'), '')"),
+    ("intersection", lambda m: nested.intersection(m, nested.map_values(clicks(m), lambda _, v: v + 100)), "coalesce(string_agg(event_type || '=' || n, ',' ORDER BY event_type) FILTER (event_type = 'click'), '')"),
+):
+    query(f"map_col_{_name}", f"SELECT user_id, {_s} AS value FROM {CNT} GROUP BY 1")(lambda s, sf, f=_f: counts(s, sf).select("user_id", nested.map_text(f(F.col("m"))).alias("value")))
+query("map_col_contains", f"SELECT user_id, true AS every, bool_or(event_type = 'click') AS some FROM {CNT} GROUP BY 1")(
+    lambda s, sf: counts(s, sf).select("user_id", nested.contains_all(F.col("m"), clicks(F.col("m"))).alias("every"), nested.contains_any(F.col("m"), F.create_map(F.lit("click"), F.lit(None).cast("long"))).alias("some"))
+)
+
 # Virtual collections.
 query("virtual_list_squares", "SELECT range AS idx, range * range AS value FROM range(1000)")(lambda s, _: virtual.sequence(s, 1000, lambda i: i * i))
 query("virtual_set_evens", "SELECT c_custkey AS value, c_custkey % 2 = 0 AND c_custkey < 200 AS found FROM customer")(lambda s, sf: virtual.contains(probes(s, sf).withColumnRenamed("key", "value"), 100, lambda v: F.when(v % 2 == 0, F.expr("value div 2"))))
@@ -343,12 +374,26 @@ query("graph_add_remove_vertex", "SELECT * FROM {DG} WHERE src % 7 <> 0 AND dst
 query("graph_map_edges", "SELECT src, dst, src + dst + value AS value FROM {DG}")(lambda s, sf: g.map_edges(DG(s, sf), lambda a, b, v: a + b + v).edges)
 query("graph_undirected_edge", "SELECT src, dst, value FROM (SELECT dst AS src, src AS dst, 1 AS value FROM {UG})")(lambda s, sf: (lambda x: g.edge(x, x.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), F.lit(0)))(UG(s, sf)))
 query("graph_equals", "SELECT true AS equal")(lambda s, sf: g.equals(DG(s, sf), g.transpose(g.transpose(DG(s, sf)))))
+query("graph_hash", "SELECT true AS same, false AS turned")(
+    lambda s, sf: (lambda x: g.hash_(x).crossJoin(g.hash_(g.transpose(g.transpose(x))).withColumnRenamed("hash", "h2")).crossJoin(g.hash_(g.transpose(x)).withColumnRenamed("hash", "h3")).select((F.col("hash") == F.col("h2")).alias("same"), (F.col("hash") == F.col("h3")).alias("turned")))(DG(s, sf))
+)  # rows of one aggregate each
+query("graph_vertex_index_of", "SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM {DV}")(lambda s, sf: positions(DG(s, sf).vertices, "id").select("id", "idx"))
 query("dag_top", "SELECT id FROM (SELECT src AS id FROM {DAGF} UNION SELECT dst FROM {DAGF}) WHERE id NOT IN (SELECT dst FROM {DAGF})")(lambda s, sf: g.top(DAGF(s, sf)))
 query("dag_bottom", "SELECT id FROM (SELECT src AS id FROM {DAGF} UNION SELECT dst FROM {DAGF}) WHERE id NOT IN (SELECT src FROM {DAGF})")(lambda s, sf: g.bottom(DAGF(s, sf)))
 query("dag_levels", "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {DAGF}), p(id, level) AS (SELECT id, 0 FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) UNION SELECT e.dst, p.level + 1 FROM p JOIN e ON e.src = p.id) SELECT id, CAST(max(level) AS INTEGER) AS level FROM p GROUP BY id")(lambda s, sf: traverse.levels(DAGF(s, sf)))
+query("dag_link", "SELECT src, dst, value FROM {DAGF} UNION ALL SELECT -1, (SELECT min(src) FROM {DAGF}), 1")(lambda s, sf: (lambda x: traverse.dag_link(x, x.edges.agg(F.lit(-1).cast("long").alias("src"), F.min("src").alias("dst"), F.lit(1).cast("long").alias("value"))).edges)(DAGF(s, sf)))
+query("dag_link_rejects_cycle", "SELECT true AS rejected")(lambda s, sf: s.range(1).select(F.lit(closes(DAGF(s, sf))).alias("rejected")))
 query("dag_is_acyclic", "SELECT true AS dag, false AS digraph")(lambda s, sf: s.range(1).select(F.lit(traverse.is_acyclic(DAGF(s, sf))).alias("dag"), F.lit(traverse.is_acyclic(TR(s, sf))).alias("digraph")))
 
 
+def closes(x: Graph) -> bool:
+    try:
+        traverse.dag_link(x, g.transpose(x).edges)
+    except traverse.CycleError:
+        return True
+    return False
+
+
 def start(x: Graph) -> DataFrame:
     """The vertex with most edges out (the least of them): a start that reaches something at every scale."""
     return x.edges.groupBy(F.col("src").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
@@ -360,6 +405,7 @@ query("graph_bfs_levels", BFS + "SELECT id, CAST(min(level) AS INTEGER) AS level
 query("graph_reachable", BFS + "SELECT DISTINCT id FROM p")(lambda s, sf: (lambda x: traverse.bfs_levels(start(x), lambda _: x.edges).select("id"))(DG(s, sf)))
 CLOSED = "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {UB}), p(id, o) AS (SELECT id, id FROM {UV} UNION SELECT e.dst, p.o FROM p JOIN e ON e.src = p.id) "
 query("graph_connected_components", CLOSED + "SELECT id, min(o) AS component FROM p GROUP BY id")(lambda s, sf: traverse.connected_components(UG(s, sf)))
+query("graph_split", CLOSED + ", c AS (SELECT id, min(o) AS component FROM p GROUP BY id) SELECT component, u.src, u.dst, u.value FROM {UG} u JOIN c ON c.id = u.src")(lambda s, sf: traverse.split(UG(s, sf))[1])
 SCC = "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {DG}), p(o, id) AS (SELECT id, id FROM {DV} UNION SELECT p.o, e.dst FROM p JOIN e ON e.src = p.id), c AS (SELECT a.id, min(a.o) AS component FROM p a JOIN p b ON a.o = b.id AND a.id = b.o GROUP BY a.id) "
 query("graph_scc", SCC + "SELECT * FROM c")(lambda s, sf: traverse.strongly_connected(DG(s, sf)))
 query("graph_scc_no_singletons", SCC + "SELECT * FROM c WHERE component IN (SELECT component FROM c GROUP BY 1 HAVING count(*) > 1)")(lambda s, sf: traverse.strongly_connected(DG(s, sf), False))

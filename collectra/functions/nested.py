@@ -16,6 +16,29 @@ def merge(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column
     return F.map_zip_with(a, b, pick)
 
 
+def union(a: Column, b: Column) -> Column:
+    """Map columns: the right side wins, also with a null value."""
+    return F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
+
+
+def difference(a: Column, b: Column) -> Column:
+    """Entries of ``a`` whose key is not in ``b``, whatever the values."""
+    return F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k))
+
+
+def intersection(a: Column, b: Column) -> Column:
+    """Entries of ``a`` whose key is in ``b``; left values stay."""
+    return F.map_filter(a, lambda k, _: F.map_contains_key(b, k))
+
+
+def contains_all(a: Column, b: Column) -> Column:
+    return F.forall(F.map_keys(b), lambda k: F.map_contains_key(a, k))
+
+
+def contains_any(a: Column, b: Column) -> Column:
+    return F.exists(F.map_keys(b), lambda k: F.map_contains_key(a, k))
+
+
 def put(m: Column, k: Column, v: Column) -> Column:
     return F.map_concat(F.map_filter(m, lambda x, _: x != k), F.create_map(k, v))
 

@@ -113,6 +113,12 @@ def equals(a: Graph, b: Graph) -> DataFrame:
     return edges.crossJoin(ids).select((F.col("equal") & F.col("_v") & F.lit(a.directed == b.directed)).alias("equal"))  # one row each
 
 
+def hash_(g: Graph) -> DataFrame:
+    """One row (hash), whatever the order of rows; equal graphs have equal hashes."""
+    rows = g.vertices.select(F.xxhash64(F.lit(0), "id").alias("h")).unionByName(g.edges.select(F.xxhash64(F.lit(1), "src", "dst", "value").alias("h")))
+    return rows.agg(F.xxhash64(F.lit(g.directed), F.coalesce(F.bit_xor("h"), F.lit(0))).alias("hash"))
+
+
 def top(g: Graph) -> DataFrame:
     """Vertices without an edge into them."""
     return g.vertices.join(g.edges.select(F.col("dst").alias("id")), "id", "left_anti")

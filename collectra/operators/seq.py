@@ -86,6 +86,32 @@ def remove_last(seq: DataFrame) -> DataFrame:
     return seq.where(idx() < size(seq) - 1)
 
 
+def pop_first(seq: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first element (one row, value; an empty sequence raises) and the rest."""
+    return nth(seq, 0, strict=True), remove_first(seq)
+
+
+def pop_last(seq: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The last element (one row, value; an empty sequence raises) and the rest."""
+    return nth(seq, size(seq) - 1, strict=True), remove_last(seq)
+
+
+def drop(seq: DataFrame, n: int) -> DataFrame:
+    """Without the first n elements."""
+    return seq.where(idx() >= n).withColumn("idx", idx() - max(0, n))
+
+
+def filter_(seq: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """The elements for which ``keep`` is true, in order."""
+    return positions(seq.where(keep(F.col("value"))).withColumnRenamed("idx", "_was"), "_was").select("idx", "value")
+
+
+def flat_map(seq: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
+    """The elements of the arrays that ``f`` gives, one array after the other; null and empty ones give nothing."""
+    parts = seq.select(F.col("idx").alias("_was"), F.posexplode(f(F.col("value"))).alias("_at", "value"))
+    return positions(parts, "_was", "_at").select("idx", "value")
+
+
 def set_(seq: DataFrame, i: int, value: object) -> DataFrame:
     """Replaces the element at i; i = size appends; beyond raises."""
     n = size(seq)

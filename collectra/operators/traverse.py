@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import cut
-from .graph import Graph
+from .graph import Graph, link
 
 
 class CycleError(ValueError):
@@ -82,6 +82,24 @@ def is_acyclic(g: Graph) -> bool:
     return True
 
 
+def dag(g: Graph) -> Graph:
+    """The graph itself if it is directed and has no cycle; raises otherwise."""
+    levels(g)
+    return g
+
+
+def dag_link(g: Graph, edges: DataFrame, merge: Callable[[Column, Column], Column] | None = None) -> Graph:
+    """``link`` on a graph without cycles; raises if the edges close one."""
+    return dag(link(g, edges, merge))
+
+
+def split(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Vertices (id, component) and edges (component, src, dst, value): pieces that share nothing. Directed graphs are refused."""
+    ids = cut(connected_components(g))
+    own = ids.select(F.col("id").alias("_i"), "component")
+    return ids, g.edges.join(own, F.col("src") == F.col("_i")).select("component", "src", "dst", "value")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int) -> DataFrame:
     """(id, colour): what each colour's seed (id, colour) reaches over edges inside one ``_g``."""
     seen = frontier = cut(seeds)
