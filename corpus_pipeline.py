@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collectra.llm import decontaminate, mixing, quality, sharding, simhash
+from collectra.llm import decontaminate, mixing, nearcopies, quality, sharding
 from collectra.llm.common import cut, table, words_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,12 +25,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of fingerprints within 3 bits the document with the least doc_id stays.
+    """Of each component of texts with a five-word Jaccard similarity of 0.8 or more the least doc_id stays.
 
     Rows that repeat a doc_id are one document and stay or go together. Rows with a null doc_id stay,
     null and wordless texts are copies of each other, and an empty table gives an empty one.
     """
-    found = simhash.near_duplicates(docs)
+    found = nearcopies.near_copies(docs)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
     return kept.select(*COLUMNS)
