@@ -20,30 +20,61 @@ from .common import table
 BUCKETS = 1 << 17
 
 
-def features(word: bytes) -> list[int]:
+LONG = 64
+
+
+def features(word: bytes) -> list[int] | np.ndarray:
     """Buckets of a word: itself and its 3- to 5-byte n-grams, with marks at its ends."""
-    marked = b"<" + word[:64] + b">"
+    if len(word) > LONG:
+        return long_features(word)
+    marked = b"<" + word + b">"
     out = [zlib.crc32(word) % BUCKETS]
     for n in (3, 4, 5):
         out += [zlib.crc32(marked[i : i + n], n) % BUCKETS for i in range(len(marked) - n + 1)]
     return out
 
 
+def crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = (t >> np.uint32(1)) ^ np.where(t & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return t
+
+
+CRC = crc_table()
+
+
+def long_features(word: bytes) -> np.ndarray:
+    """``features`` of a word of any length, the CRCs of all n-grams taken a byte at a time at once."""
+    marked = np.frombuffer(b"<" + word + b">", np.uint8)
+    out = [np.array([zlib.crc32(word) % BUCKETS], np.int32)]
+    for n in (3, 4, 5):
+        m = len(marked) - n + 1
+        crc = np.full(m, n ^ 0xFFFFFFFF, np.uint32)
+        for i in range(n):
+            crc = CRC[(crc ^ marked[i : i + m]) & np.uint32(0xFF)] ^ (crc >> np.uint32(8))
+        out.append(((crc ^ np.uint32(0xFFFFFFFF)) % BUCKETS).astype(np.int32))
+    return np.concatenate(out)
+
+
 class Words:
-    """Packed 32-bit features or folded sums by word, remembered up to ``memory`` words."""
+    """Packed 32-bit features or folded sums by word, remembered up to ``memory`` words of up to LONG bytes."""
 
     def __init__(self, weights: np.ndarray | None = None, memory: int = 300_000):
         self.weights, self.memory, self.known = weights, memory, {}
 
     def __call__(self, words: list[bytes]) -> list:
-        known, weights = self.known, self.weights
+        known = self.known
         if len(known) > self.memory:
             known.clear()
         for w in set(words):
-            if w not in known:
-                f = features(w)
-                known[w] = np.array(f, np.int32).tobytes() if weights is None else (float(weights[f].sum()), len(f))
-        return [known[w] for w in words]
+            if w not in known and len(w) <= LONG:
+                known[w] = self.value(w)
+        return [known[w] if len(w) <= LONG else self.value(w) for w in words]
+
+    def value(self, word: bytes) -> bytes | tuple[float, int]:
+        f = features(word)
+        return np.array(f, np.int32).tobytes() if self.weights is None else (float(self.weights[f].sum()), len(f))
 
 
 def train(texts: list[bytes], labels: list[int], width: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 37) -> tuple[np.ndarray, float]:
