@@ -218,6 +218,9 @@ query("list_remove_first_last", f"SELECT idx - 1 AS idx, value FROM {{LE}} WHERE
 query("list_split", f"SELECT idx, value, CAST(least(idx // ({N} // 7), 6) AS INTEGER) AS part FROM {{LE}}")(lambda s, sf: seq.split(LE(s, sf), 7))
 query("list_sort_stable", "SELECT row_number() OVER (ORDER BY value, idx) - 1 AS idx, value FROM {LE}")(lambda s, sf: seq.sort(LE(s, sf)))
 query("list_merge_sorted", "SELECT row_number() OVER (ORDER BY value) - 1 AS idx, value FROM (SELECT value FROM {LE} WHERE idx < 100 UNION ALL SELECT value FROM {LE} WHERE idx < 50)")(lambda s, sf: seq.merge_sorted(LE(s, sf).where("idx < 100"), LE(s, sf).where("idx < 50")))
+query("list_merge_sorted_whole", "SELECT row_number() OVER (ORDER BY event_type) - 1 AS idx, event_type AS value FROM events")(
+    lambda s, sf: seq.merge_sorted(*(seq.sort(seq.from_order(t(s, sf, "events").where(F.pmod("event_id", F.lit(2)) == k), "event_type", "ts", "event_id")) for k in (0, 1)))
+)  # whole sorted sequences that partition the events
 query("list_indexed", "SELECT idx + 5 AS idx, value FROM {LE}")(lambda s, sf: seq.indexed(LE(s, sf), 5))
 query("list_equals", "SELECT true AS equal")(lambda s, sf: seq.equals(LE(s, sf), LE(s, sf)))
 query("list_array_index_of", "SELECT coalesce(min(idx), -1) AS first, coalesce(max(idx), -1) AS last FROM {LE} WHERE value = 'click'")(lambda s, sf: seq.position_of(LE(s, sf), "click"))
