@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .positions import positions
+
 Merge = Callable[[Column, Column], Column]
 
 
@@ -146,3 +148,10 @@ def to_text(a: DataFrame) -> DataFrame:
 def split(a: DataFrame, parts: int) -> DataFrame:
     """Adds ``part``, by hash of the key."""
     return a.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+
+
+def split_range(a: DataFrame, parts: int) -> DataFrame:
+    """Adds ``part``: ranges of keys in ascending order, nulls first, of sizes that differ by one at most."""
+    ranked = positions(a, "key")
+    n = F.lit(max(1, ranked.count()))
+    return ranked.withColumn("part", F.floor(F.col("idx") * parts / n).cast("int")).drop("idx")
