@@ -33,28 +33,37 @@ def bfs_levels(starts: DataFrame, adjacent: Callable[[DataFrame], DataFrame] | D
     raise RuntimeError(f"not done in {max_rounds} rounds")
 
 
-def connected_components(g: Graph, max_rounds: int = 100) -> DataFrame:
-    """(id, component): the least vertex of each component. Directed graphs are refused.
+def stars(links: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """``links`` (a, b) -> (node, component): the least node reachable from each linked node.
 
-    Large-star and small-star rounds: minima per vertex and equi-joins, log many for long chains too.
+    Self links and nulls say nothing and are dropped; an empty table gives an empty one. Large-star and
+    small-star rounds: every step is a minimum a node (combined before the shuffle) and an equi-join that
+    AQE may split, so a hub with any share of the links does not meet in one task. Rounds grow with the
+    logarithm of the longest path, so ``max_rounds`` is out of reach; hitting it raises.
     """
-    if g.directed:
-        raise ValueError("components are of undirected graphs")
-    edges = cut(g.edges.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    edges = cut(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = None
     for _ in range(max_rounds):
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == mark or not now[0]:
-            found = edges.select(F.col("a").alias("_i"), F.col("b").alias("_c"))
-            return g.vertices.join(found, F.col("id") == F.col("_i"), "left").select("id", F.coalesce("_c", "id").alias("component"))
+            ends = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            return ends.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
         mark = now
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-    raise RuntimeError(f"not done in {max_rounds} rounds")
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lowest, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(small.unionByName(lowest.select("a", F.col("m").alias("b"))).distinct())
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def connected_components(g: Graph) -> DataFrame:
+    """(id, component): the least vertex of each component. Directed graphs are refused."""
+    if g.directed:
+        raise ValueError("components are of undirected graphs")
+    found = stars(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return g.vertices.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def levels(g: Graph, max_rounds: int = 1000) -> DataFrame:

@@ -6,14 +6,22 @@ import re
 import tempfile
 from collections import Counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``. Where that is unset: a temporary one on a local master, an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("on a cluster, spark.checkpoint.dir must name a folder that all machines share")
+    return named or tempfile.mkdtemp(prefix="checkpoints-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the folder in ``spark.checkpoint.dir`` (a temporary one where unset) and goes on from there."""
+    """Writes ``df`` to the shared folder and goes on from the written copy."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
