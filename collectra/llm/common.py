@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut, shared_folder  # noqa: F401
+
 #: Word pattern of the size and shingle contracts: runs of anything but ASCII white space.
 SPACE_SPLIT = "[\\x20\\x09-\\x0D]+"
 
@@ -15,19 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy.
-
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset (tests, a single
-    machine) a temporary one is made.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def words_count(text: Column) -> Column:
     """Number of runs of anything but ASCII white space; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
@@ -43,6 +30,25 @@ def scaled(u: Column, n: Column) -> Column:
     return F.least(F.floor(u.cast("double") * n.cast("double") / F.lit(float(1 << 62))).cast("long"), n - 1)
 
 
+def identity(*columns: str) -> Column:
+    """A number that rows with other values in these columns don't share (but for one pair in 2^64); nulls are values."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
+def once(rows: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with one row for each value of ``keys``, nulls too; ``counted`` is a cheap table of the same rows' keys.
+
+    Only rows whose key repeats are shuffled.
+    """
+    names = [f"_{k}" for k in keys]
+    often = counted.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(F.count(F.lit(1)).alias("_often")).where("_often > 1")
+    often = cut(often.drop("_often"))
+    if often.isEmpty():
+        return rows
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)]
+    return rows.join(often, same, "left_anti").unionByName(rows.join(often, same, "left_semi").dropDuplicates(keys))
+
+
 def before(counts: DataFrame, group: list[str], bucket: str, n: str, out: str, block: int = 1024) -> DataFrame:
     """Adds ``out``: the sum of ``n`` over smaller buckets of the group.
 

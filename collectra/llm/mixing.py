@@ -79,30 +79,48 @@ def plan(group: pd.DataFrame) -> pd.DataFrame:
     return order.assign(base=base, more=more)[["source", "size", "n", "source_size", "target", "base", "more"]]
 
 
-def mix(docs: DataFrame, sizes: DataFrame, seed: int = 17) -> DataFrame:
+def planned_for(rows: DataFrame, planned: DataFrame, share: int = 1000) -> DataFrame:
+    """``rows`` with their (source, size)'s plan.
+
+    A length that more than one in ``share`` rows have is a hot key; there are less than ``share`` of them, so they
+    are broadcast, and only the others' rows are dealt by key.
+    """
+    total = planned.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(planned.where(F.col("_n") * share > F.lit(total)))
+    rest = planned.where(F.col("_n") * share <= F.lit(total))
+
+    def same(side: DataFrame):
+        return rows["source"].eqNullSafe(side["_s"]) & (rows["size"] == side["_z"])
+
+    return rows.join(hot, same(hot)).unionByName(rows.join(hot, same(hot), "left_anti").join(rest, same(rest)))
+
+
+def mix(docs: DataFrame, sizes: DataFrame, seed: int = 17, ties: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Adds ``source_size``, ``target`` and ``copies`` (0 to 3) to ``docs``, which has ``source`` and ``size``.
 
-    ``sizes`` is a cheap (doc_id, source, size) table of the same rows. What each source's length counts
-    say is fitted to its target in one small task a source (its input: a row a distinct length); which
-    documents of a length are taken once more is decided by seeded rank. Null source: a source of its
-    own, last in order. Null size: 0. Documents of size 0 are taken as often as the source's base. Repeated
-    rows are documents of their own. All columns of ``docs`` are kept; an empty table gives an empty one.
+    ``sizes`` is a cheap (source, size) table of the same rows. What each source's length counts say is fitted
+    to its target in one small task a source (its input: a row a distinct length); which documents of a length are
+    taken once more is decided by seeded rank over the ``ties`` columns, which should tell rows apart: rows alike
+    in all of them are ranked in one task, in no fixed order. Null source: a source of its own, last in order. Null
+    size: 0. Documents of size 0 are taken as often as the source's base. Repeated rows are documents of their own.
+    All columns of ``docs`` are kept (names that start with an underscore and one letter are taken); an empty table
+    gives an empty one.
     """
-    by_size = sizes.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n"))
+    by_size = sizes.groupBy("source", F.coalesce("size", F.lit(0)).alias("size")).agg(F.count(F.lit(1)).alias("n"))
     by_source = by_size.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     told = targets(by_source).select(F.col("source").alias("_s"), "source_size", "target")
     wide = by_size.join(told, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     planned = wide.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, base int, more long")
     planned = cut(planned).select(F.col("source").alias("_s"), F.col("size").alias("_z"), F.col("n").alias("_n"), "source_size", "target", F.col("base").alias("_base"), F.col("more").alias("_more"))
     kept = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
-    rows = docs.select(*kept).join(planned, F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z")))
-    rows = rows.withColumn("_u", uniform(seed, F.col("doc_id")))
-    chosen = ranked(rows, ["_s", "_z"], "_u", ["doc_id"], "_n", "_rank")
+    rows = planned_for(docs.select(*kept).withColumn("size", F.coalesce("size", F.lit(0))), planned).withColumn("_u", uniform(seed, *[F.col(c) for c in ties]))
+    chosen = ranked(rows, ["_s", "_z"], "_u", list(ties), "_n", "_rank")
     copies = (F.col("_base") + F.when(F.col("_rank") < F.col("_more"), 1).otherwise(0)).cast("int")
     return chosen.select(*kept, "source_size", "target", copies.alias("copies"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sizes = cut(docs.select(F.col("doc_id").cast("long"), "source", words_count(F.col("text")).alias("size")))
-    return mix(sizes, sizes).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    sizes = cut(docs.select(F.col("doc_id").cast("long"), "source", words_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash")))
+    mixed = mix(sizes, sizes, ties=("doc_id", "text_hash"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

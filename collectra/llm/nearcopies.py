@@ -1,10 +1,17 @@
-"""Near copies by exact Jaccard similarity of word shingles, found by prefix filtering.
+"""SimHash near-duplicates at a similarity of word shingles: the operator of ``simhash`` with another key scheme and a check.
 
-A text is the set of its distinct ``size``-word shingles, as XXH64 hashes. In any one order of all
-shingles, two sets of similarity p / q or more share one among their first n - ceil(p n / q) + 1, so
-texts that share none of these are never compared and no pair is lost. The order is by hash, with
-shingles that begin too many texts put last. Only links that components need are checked: a pair
-whose texts are already connected is passed over.
+A text is the set of its distinct ``size``-word shingles (64-bit hashes). Two sets of similarity p / q or more
+share one among their first n - ceil(p n / q) + 1 in any one order of all shingles, so such a shingle is the key
+that names a block, and no pair is lost by blocking. The order is by hash, with shingles that begin too many texts
+put last. In a block, ``bits``-wide SimHash fingerprints of the sets are compared bit-sliced (``simhash.within``);
+pairs within the radius are candidates, and each candidate is checked on all shingles of both texts.
+
+A pair of similarity 0.8 differs in 15 % of its fingerprint bits, 19 % where texts have a handful of shingles: 39 to 48
+of 256 with a deviation of 6. The radius of 80 passes it over with a chance below one in a million. At 80 bits two
+sets share about 0.39 of their shingles, so few pairs are checked in vain.
+
+Not all pairs of a group are checked: first each text's nearest-named candidate of a block, then its farthest-named
+one that is still apart, then what is still apart after both.
 """
 
 from __future__ import annotations
@@ -14,55 +21,210 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.traverse import stars
 from .common import cut
-from .components import components
+from .simhash import near
+
+LANES, BASE = np.uint64(0x0101010101010101), np.uint64(0x9E3779B97F4A7C15)
+
+
+class Words(dict):
+    """64-bit hashes of words; up to ``memory`` words are remembered."""
+
+    memory = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.memory:
+            self[word] = value
+        return value
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes; a text of fewer words is one shingle, one without words has none."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    runs = [b" ".join(words)] if len(words) <= size else map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(x) for x in runs), np.uint64, max(1, len(words) - size + 1)).view(np.int64))
+def shingle_sets(texts: list[bytes | None], size: int, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(all texts' distinct shingle hashes, sorted in each text; how many each text has). A text of fewer words is one shingle, one without has none."""
+    split = [(t or b"").lower().split() for t in texts]
+    counts = np.array([len(w) for w in split], np.int64)
+    get = words.__getitem__
+    ids = np.fromiter((h for w in split for h in map(get, w)), np.uint64, int(counts.sum()))
+    starts = np.cumsum(counts) - counts
+    n = np.where(counts >= size, counts - size + 1, counts > 0)
+    first = np.repeat(starts, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    short = np.repeat(counts < size, n)
+    h = np.zeros(len(first), np.uint64)
+    padded = np.r_[ids, np.zeros(size, np.uint64)]
+    for k in range(size):
+        h = h * BASE + padded[first + k] + np.uint64(1)
+    h = mixed(h)
+    if short.any():
+        at = np.flatnonzero(short)
+        owner = np.repeat(np.arange(len(texts)), n)[at]
+        h[at] = [xxhash.xxh3_64_intdigest(b" ".join(split[o]), 1) for o in owner.tolist()]
+    ends = np.cumsum(n)
+    pieces = [np.unique(h[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
+    return np.concatenate([*pieces, np.zeros(0, np.uint64)]), np.array([len(p) for p in pieces], np.int64)
 
 
-def name_of(grams: np.ndarray) -> int:
+def names_of(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Equal sets have equal names; 0 is that of texts without words."""
-    return np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes())).astype(np.int64) if len(grams) else np.int64(0)
+    raw, ends = memoryview(grams.tobytes()), np.cumsum(n) * 8
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(raw[b - 8 * k : b]) if k else 0 for b, k in zip(ends.tolist(), n.tolist(), strict=True)), np.uint64, len(n)).view(np.int64)
 
 
-def first(grams: np.ndarray, similarity: tuple[int, int], last: np.ndarray) -> np.ndarray:
-    """The first shingles by hash, those in ``last`` after all others; a set as similar has one of them."""
+def fingerprints(grams: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """(texts, bits / 64): a bit is 1 if set in over half of the text's shingles, each hashed once a word."""
+    out = np.zeros((len(n), bits // 64), np.uint64)
+    some = np.flatnonzero(n)
+    if not len(some):
+        return out
+    starts, own = (np.cumsum(n) - n)[some], n[some]
+    parts = -(-own // 255)  # byte sums hold up to 255 ones
+    cuts = np.repeat(starts, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    edge = np.cumsum(parts) - parts
+    for w in range(bits // 64):
+        h = mixed(grams * np.uint64(2 * w + 1) + BASE * np.uint64(w + 1))
+        ones = np.zeros((len(some), 64), np.int64)
+        for b in range(8):
+            sums = np.add.reduceat((h >> np.uint64(b)) & LANES, cuts)
+            ones[:, b::8] = np.add.reduceat(sums.view(np.uint8).reshape(-1, 8).astype(np.int64), edge, axis=0)
+        out[some, w] = np.packbits(2 * ones > own[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def prefixes(grams: np.ndarray, n: np.ndarray, similarity: tuple[int, int], last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the first shingles by hash, those in ``last`` (sorted) after all others; and how many. A set as similar has one of them."""
     p, q = similarity
-    if len(last):
-        late = np.isin(grams, last)
-        grams = np.concatenate([grams[~late], grams[late]])
-    n = len(grams)
-    return grams[: n - -(-p * n // q) + 1] if n else grams
+    owner = np.repeat(np.arange(len(n)), n)
+    if len(last) and len(grams):
+        bits = np.zeros(1 << 20, bool)
+        bits[last >> np.uint64(44)] = True
+        late = bits[grams >> np.uint64(44)]
+        at = np.flatnonzero(late)
+        late[at] = last[np.minimum(np.searchsorted(last, grams[at]), len(last) - 1)] == grams[at]
+        grams = grams[np.argsort(owner * 2 + late, kind="stable")]
+    m = np.where(n > 0, n + (-p * n // q) + 1, 0)
+    place = np.arange(len(grams)) - np.repeat(np.cumsum(n) - n, n)
+    return grams[place < np.repeat(m, n)], m
+
+
+def read(batches: Iterator[pa.RecordBatch], size: int, words: Words, step: int = 1000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows at a time (the last column is the text): the rows, their shingles, how many."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, step):
+            part = batch.slice(i, step)
+            grams, n = shingle_sets([x.as_py() for x in part.column(part.num_columns - 1)], size, words)
+            yield part, grams, n
 
 
-def sets(docs: DataFrame, size: int, similarity: tuple[int, int], last: np.ndarray | None) -> DataFrame:
-    """(doc_id, row, n, grams) of every row: the set's name, size and first shingles; without ``last`` all shingles.
+def arrays(values: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(values.view(np.int64)))
+
+
+def beginnings(texts: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """(gram, texts): how many texts each prefix shingle begins; equal texts read together count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for _, grams, n in read(batches, size, words):
+            names = names_of(grams, n)
+            kept = np.zeros(len(n), bool)
+            kept[np.unique(names, return_index=True)[1]] = True
+            grams, n = grams[np.repeat(kept, n)], n[kept]
+            found, times = np.unique(prefixes(grams, n, similarity, np.zeros(0, np.uint64))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int64))], ["gram", "texts"])
 
-    The shingles are made from the text each time, as keeping them takes more than the text.
+    return texts.mapInArrow(run, "gram long, texts long").groupBy("gram").agg(F.sum("texts").alias("texts"))
+
+
+def described(texts: DataFrame, size: int, similarity: tuple[int, int], bits: int, last: np.ndarray) -> DataFrame:
+    """(doc_id, tie, row, n, print, grams) of every row: the set's name and size, its fingerprint, its first shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for part, grams, n in read(batches, size, words):
+            raw, w = fingerprints(grams, n, bits).tobytes(), bits // 8
+            prints = pa.array([raw[w * i : w * i + w] for i in range(len(n))], pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), pa.array(names_of(grams, n)), pa.array(n.astype(np.int32)), prints, arrays(*prefixes(grams, n, similarity, last))],
+                ["doc_id", "tie", "row", "n", "print", "grams"],
+            )
+
+    return texts.mapInArrow(run, "doc_id long, tie long, row long, n int, print binary, grams array<long>")
+
+
+def whole_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(row, grams) of every row, all shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for _, grams, n in read(batches, size, words):
+            yield pa.RecordBatch.from_arrays([pa.array(names_of(grams, n)), arrays(grams, n)], ["row", "grams"])
+
+    return texts.mapInArrow(run, "row long, grams array<long>")
+
+
+def candidates(at: DataFrame, similarity: tuple[int, int], radius: int, block_rows: int, pick: str) -> DataFrame:
+    """Distinct pairs (a < b) of rows that share a gram, are near and apart (``c`` differs).
+
+    ``pick`` is ``first`` (a row's least-named such partner in each block), ``last`` (the greatest-named one after it) or ``all``.
+    A gram with more than ``block_rows`` rows is dealt into parts, and each pair of parts is a block.
     """
+    p, q = similarity
+    parts = F.ceil(F.col("texts") / block_rows).cast("int")
+    mine = F.pmod(F.xxhash64(F.lit(7), "row"), F.col("parts")).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(mine, other) * F.col("parts") + F.greatest(mine, other))
+    dealt = at.withColumn("parts", parts).select("gram", F.explode(F.when(F.col("parts") < 2, F.array(F.lit(0))).otherwise(pair)).alias("part"), "row", "n", "c", "print")
+    dealt = dealt.repartition("gram", "part").sortWithinPartitions("gram", "part", "row")
+
+    def block(key: np.ndarray, part: np.ndarray, row: np.ndarray, n: np.ndarray, c: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+        found, none = [], len(row)
+        best, other = np.full(none, -1 if pick == "last" else none), np.full(none, none)
+        for a, b in near(group, prints, radius):
+            good = (c[a] != c[b]) & (np.minimum(n[a], n[b]) * q >= np.maximum(n[a], n[b]) * p)
+            a, b = a[good], b[good]
+            if pick == "all":
+                found.append(np.unique(np.stack([row[a], row[b]], axis=1), axis=0))
+            elif pick == "first":
+                np.minimum.at(best, b, a)
+                np.minimum.at(other, a, b)
+            else:
+                np.maximum.at(best, a, b)
+        if pick != "all":
+            best = np.where(best == none, other, best)  # so that every row with a partner is in a pair
+            at = np.flatnonzero((best >= 0) & (best < none))
+            found.append(np.stack([row[at], row[best[at]]], axis=1))
+        for f in found:
+            f = np.sort(f, axis=1)
+            if len(f):
+                yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            found = [shingles(x.as_py(), size) for x in batch.column(1)]
-            names, ns = np.fromiter(map(name_of, found), np.int64, len(found)), np.fromiter(map(len, found), np.int32, len(found))
-            if last is not None:
-                found = [first(x, similarity, last) for x in found]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(ns), grams], ["doc_id", "row", "n", "grams"])
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            first = int(np.argmax((columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])))
+            held = [x[first:] for x in columns]
+            if first:
+                yield from block(*(x[:first] for x in columns))
+        if held is not None:
+            yield from block(*held)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, row long, n int, grams array<long>")
+    return dealt.select("gram", "part", "row", "n", "c", "print").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, grams: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -74,47 +236,40 @@ def similar(pairs: DataFrame, grams: DataFrame, similarity: tuple[int, int]) ->
     return pairs.join(left, "a").join(right, "b").where((p + q) * both >= p * (F.size("x") + F.size("y"))).select("a", "b")
 
 
-def near_copies(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), heavy: int = 256, most: int = 200_000) -> DataFrame:
-    """(doc_id, component_id) of every row: the least doc_id that links of ``similarity`` or more reach.
+def near_copies(
+    docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), heavy: int = 256, most: int = 200_000, bits: int = 256, radius: int = 80, block_rows: int = 2048, tie: Column | None = None
+) -> DataFrame:
+    """(doc_id, tie, component_id, component_tie) of every row: the least (doc_id, tie) that links of ``similarity`` or more reach.
 
-    Texts without words are copies of each other. A null doc_id keeps its row; a component of nothing
-    else has a null id. ``heavy`` texts begun by a shingle put it last (for ``most`` shingles, the
-    commonest first), which changes the work and not the result. An empty table gives an empty one.
+    Texts without words are copies of each other. A null doc_id comes after all others, and ``tie`` (a long, 0 by
+    default) orders rows that share an id; repeated rows stay repeated. Other columns, whatever their names, are
+    left out. An empty table gives an empty one. A shingle that begins over ``heavy`` texts is put last (for ``most``
+    shingles, the commonest first, as they are broadcast), which changes the work and not the result.
     """
-    p, q = similarity
-    rows = cut(sets(docs, size, similarity, np.zeros(0, np.int64)))
-    classes = cut(rows.groupBy("row").agg(F.min("doc_id").alias("least")))
-    counted = rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > heavy)
-    last = np.array([r.gram for r in counted.orderBy(F.desc("texts"), "gram").limit(most).collect()], np.int64)
-    dealt = (rows if not len(last) else sets(docs, size, similarity, last)).select("row", "n", F.explode("grams").alias("gram")).repartition("gram")
-    shared = cut(dealt.join(dealt.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "gram").select("gram", "row", "n").distinct())
-    asked = cut(shared.select("row").distinct())
-    asked = F.broadcast(asked) if asked.count() <= 1_000_000 else asked
-    grams = sets(docs, size, similarity, None).select("row", "grams").join(asked, "row", "left_semi").dropDuplicates(["row"])
-    grams = cut(grams)
-
-    def fits(a: str, b: str):
-        return (F.least(a, b) * q >= F.greatest(a, b) * p) & (F.col("ca") != F.col("cb"))
-
-    links = None
-    for round_ in range(3):  # all against one, against one other a shingle, then all that are still apart
-        if links is None:
-            at = shared.withColumn("c", F.col("row"))
-        else:
-            found = components(links).withColumnRenamed("node", "row")
-            at = cut(shared.join(found, "row", "left").select("gram", "row", "n", F.coalesce("component", "row").alias("c")))
-        left = at.select("gram", F.col("row").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-        if round_ < 2:
-            by = F.col("row") if round_ == 0 else F.xxhash64("gram", "row")
-            left = at.groupBy("gram").agg(F.min_by(F.struct("row", "n", "c"), by).alias("one"))
-            left = left.select("gram", F.col("one.row").alias("a"), F.col("one.n").alias("na"), F.col("one.c").alias("ca"))
-        right = at.select("gram", F.col("row").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-        pairs = left.join(right, "gram").where(fits("na", "nb"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = cut(similar(pairs, grams, similarity))
-        links = more if links is None else links.unionByName(more)
-    found = components(links).withColumnRenamed("node", "row")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.lit(0) if tie is None else tie).cast("long").alias("tie"), F.col("text").cast("binary"))
+    common = beginnings(texts.select("text"), size, similarity).where(F.col("texts") > heavy).orderBy(F.desc("texts"), "gram").limit(most)
+    last = np.sort(common.select("gram").toArrow().column(0).to_numpy().astype(np.int64).view(np.uint64))
+    rows = cut(described(texts, size, similarity, bits, last))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("least")
+    classes = cut(rows.groupBy("row").agg(least))
+    dealt = rows.groupBy("row").agg(F.any_value("grams").alias("grams")).select("row", F.explode("grams").alias("gram")).repartition("gram")
+    shared = dealt.join(dealt.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "gram")
+    one = rows.groupBy("row").agg(F.any_value("n").alias("n"), F.any_value("print").alias("print"))
+    shared = cut(shared.join(one, "row").select("gram", "texts", "row", "n", F.col("row").alias("c"), "print"))
+    pairs = cut(candidates(shared, similarity, radius, block_rows, "first"))
+    asked = cut(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())  # what else is near has a partner here too
+    ids = classes.join(asked, "row", "left_semi").select(F.col("least.doc_id").alias("_i")).distinct()
+    ids = F.broadcast(ids) if asked.count() <= 1_000_000 else ids
+    grams = whole_sets(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi").select("text"), size)
+    grams = cut(grams.join(asked, "row", "left_semi").dropDuplicates(["row"]))
+    links = cut(similar(pairs, grams, similarity))
+    shared = cut(shared.join(asked, "row", "left_semi"))
+    for pick in ("last", "all"):
+        found = stars(links).withColumnRenamed("node", "row")
+        apart = shared.drop("c").join(found, "row", "left").withColumn("c", F.coalesce("component", "row"))
+        links = links.unionByName(cut(similar(candidates(apart, similarity, radius, block_rows, pick), grams, similarity)))
+    found = stars(links).withColumnRenamed("node", "row")
     labelled = cut(classes.join(found, "row", "left").select("row", "least", F.coalesce("component", "row").alias("component")))
-    ids = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_row = labelled.join(ids, "component").select("row", "component_id")
-    return rows.select("doc_id", "row").join(by_row, "row").select("doc_id", "component_id")
+    ids = labelled.groupBy("component").agg(F.min("least").alias("first"))
+    by_row = labelled.join(ids, "component").select("row", "first")
+    return rows.select("doc_id", "tie", "row").join(by_row, "row").select("doc_id", "tie", F.col("first.doc_id").alias("component_id"), F.col("first.tie").alias("component_tie"))

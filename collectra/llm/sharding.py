@@ -15,8 +15,8 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 23, ties: tuple[str, ..
     In the order of fractional ranks every stretch has the mixture of the whole, so cutting it into
     ``shards`` equal stretches gives shards whose row counts differ by one at most and whose source
     counts follow the mixture. Both ranks come from counts over buckets (see ``ranked``), so one source
-    may hold any share of the rows. Null source: a source of its own. Repeated rows are placed next to
-    each other in no fixed order (they are alike). Fewer rows than shards: some shards are empty. Empty
+    may hold any share of the rows. Null source: a source of its own. ``ties`` should tell rows apart: rows
+    alike in all of these columns are placed next to each other, in one task and in no fixed order. Fewer rows than shards: some shards are empty. Empty
     table: no rows. All columns of ``docs`` are kept; ``shard`` and ``slot`` are overwritten.
     """
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
@@ -24,7 +24,7 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 23, ties: tuple[str, ..
     counts = cut(counts)
     total = counts.agg(F.sum("_n")).first()[0] or 0
     rows = docs.select(*kept).join(counts, F.col("source").eqNullSafe(F.col("_s")))
-    rows = rows.withColumn("_u", uniform(seed, F.col("doc_id")))
+    rows = rows.withColumn("_u", uniform(seed, *[F.col(c) for c in ties]))
     inside = ranked(rows, ["_s"], "_u", list(ties), "_n", "_rank")
     fraction = (2 * F.col("_rank") + 1) / (2.0 * F.col("_n"))
     keyed = inside.withColumns({"_f": F.floor(fraction * F.lit(float(1 << 62))).cast("long"), "_all": F.lit(0), "_total": F.lit(total).cast("long")})

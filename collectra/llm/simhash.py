@@ -5,6 +5,7 @@ one of four 12-bit parts of the other 48 bits. So the 16 keys of 28 bits that a
 no pair. Rows that share a key form a block. A block is stored as 64 bit planes (bit b of all its
 fingerprints in one row of machine words); one pass over the planes updates the distances of 64 pairs
 a word in carry-save counters, and words whose pairs all exceed the radius are abandoned on the way.
+``nearcopies`` is the same operator for a similarity of word shingles instead of a radius.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.traverse import stars
 from .common import cut, table
-from .components import components
 
 BITS, SMALL = 64, 64
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -56,38 +57,52 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
 
 
 def planes(values: np.ndarray) -> np.ndarray:
-    """(64, words): bit j of word w in row b is bit b of values[64 w + j]."""
-    bits = (values[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]).astype(np.uint8) & 1
-    packed = np.packbits(bits, axis=1, bitorder="little")
+    """(bits, words): bit j of word w in row b is bit b of fingerprint 64 w + j; ``values`` is (n,) or (n, words a fingerprint)."""
+    wide = values.reshape(len(values), -1)
+    bits = (wide.T[:, None, :] >> np.arange(64, dtype=np.uint64)[None, :, None]).astype(np.uint8) & 1
+    packed = np.packbits(bits.reshape(-1, len(wide)), axis=1, bitorder="little")
     packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
     return packed.view(np.uint64)
 
 
+def adder(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save: three bits of one weight make one of that weight and one of twice the weight."""
+    x = a ^ b
+    return x ^ c, (a & b) | (x & c)
+
+
 def within(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes of words within the radius; ``left`` and ``right`` (64, ...) broadcast to (64, rows, words).
+    """Lanes of words within the radius; ``left`` and ``right`` (planes, ...) broadcast to (planes, rows, words).
 
-    The counters are bit-sliced: one word array a binary digit, preset so that a carry out of the
-    highest says "more than the radius". Every eight planes, word columns in which each lane has said
-    so are abandoned.
+    The counters are bit-sliced, one word array a binary digit, preset so that a carry out of the highest
+    says "more than the radius". Eight planes at a time go through carry-save adders, so the digits from the
+    eights on move once in eight planes; then word columns in which each lane is over are abandoned.
     """
-    digits = max(1, radius.bit_length())
+    digits = max(4, radius.bit_length())
     rows, words = np.broadcast_shapes(left.shape[1:], right.shape[1:])
     start = (1 << digits) - 1 - radius
-    counter = [np.full((rows, words), FULL if start >> k & 1 else 0, np.uint64) for k in range(digits)]
+    digit = [np.full((rows, words), FULL if start >> k & 1 else 0, np.uint64) for k in range(digits)]
     over, alive = np.zeros((rows, words), np.uint64), np.arange(words)
-    for b in range(BITS):
-        carry = left[b] ^ right[b]
-        for k in range(digits):
-            counter[k], carry = counter[k] ^ carry, counter[k] & carry
+    for b in range(0, len(left), 8):
+        x = [left[b + i] ^ right[b + i] for i in range(8)]
+        one, a = adder(digit[0], x[0], x[1])
+        one, c = adder(one, x[2], x[3])
+        two, e = adder(digit[1], a, c)
+        one, a = adder(one, x[4], x[5])
+        digit[0], c = adder(one, x[6], x[7])
+        digit[1], f = adder(two, a, c)
+        digit[2], carry = adder(digit[2], e, f)
+        for k in range(3, digits):
+            digit[k], carry = digit[k] ^ carry, digit[k] & carry
         over |= carry
-        if b % 8 == 7 and b < BITS - 1:
+        if b + 8 < len(left):
             live = (over != FULL).any(axis=0)
             if not live.any():
                 alive = alive[:0]
                 break
             if live.mean() < 0.5:
-                alive, over, counter = alive[live], over[:, live], [c[:, live] for c in counter]
-                left, right = (x[:, :, live] if x.shape[2] > 1 else x for x in (left, right))
+                alive, over, digit = alive[live], over[:, live], [d[:, live] for d in digit]
+                left, right = (y[:, :, live] if y.shape[2] > 1 else y for y in (left, right))
     hits = np.zeros((rows, words), np.uint64)
     if len(alive):
         hits[:, alive] = ~over
@@ -112,15 +127,14 @@ def unite(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             parent[:] = up
 
 
-def forest(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (from, to), at most one a row, that connect what pairs within the radius connect in each group.
+def near(groups: np.ndarray, values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (lesser, greater) of one group within the radius, each once, some at a time.
 
     ``groups`` is sorted. Groups of up to 64 rows are compared all at once, lane i against lane i + s;
     in larger ones 32 rows at a time meet all rows.
     """
     starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
     sizes = np.diff(np.r_[starts, len(groups)])
-    parent = np.arange(len(groups))
     small = np.flatnonzero((sizes > 1) & (sizes <= SMALL))
     if len(small):
         small = small[np.argsort(-sizes[small], kind="stable")]
@@ -129,26 +143,38 @@ def forest(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndar
         label = np.repeat(np.arange(len(small)), own)
         for s in range(1, int(own[0])):
             n = int(own[own > s].sum())  # groups are in falling order of size
-            stack = planes(values[rows[:n]])
-            ahead = np.pad(stack, ((0, 0), (0, 1)))
-            moved = stack >> np.uint64(s)
-            if s:
-                moved = moved | ahead[:, 1:] << np.uint64(64 - s)
-            hit = lanes(within(stack[:, None, :], moved[:, None, :], radius), n - s)[0]
-            i = np.flatnonzero(hit & (label[: n - s] == label[s:n]))
-            unite(parent, rows[i], rows[i + s])
+            for at in range(0, n, 1 << 18):  # bounds what is unpacked at a time
+                end = min(n, at + (1 << 18))
+                some = rows[at : min(n, end + s)]
+                stack = planes(values[some])
+                ahead = np.pad(stack, ((0, 0), (0, 1)))
+                moved = stack >> np.uint64(s) | ahead[:, 1:] << np.uint64(64 - s)
+                m = min(end - at, len(some) - s)
+                if m <= 0:
+                    continue
+                hit = lanes(within(stack[:, None, :], moved[:, None, :], radius), m)[0]
+                i = at + np.flatnonzero(hit & (label[at : at + m] == label[at + s : at + s + m]))
+                yield rows[i], rows[i + s]
     for g in np.flatnonzero(sizes > SMALL):
         at, n = starts[g], sizes[g]
         block = values[at : at + n]
         stack = planes(block)[:, None, :]
         for q in range(0, n, 32):
-            asked = block[q : q + 32]
-            bits = (asked[None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]) & np.uint64(1)
+            asked = block[q : q + 32].reshape(min(32, n - q), -1)
+            bits = (asked.T[:, None, :] >> np.arange(64, dtype=np.uint64)[None, :, None] & np.uint64(1)).reshape(-1, len(asked))
             mask = np.where(bits == 1, FULL, np.uint64(0))[:, :, None]
             word = q // 64
             hit = lanes(within(mask, stack[:, :, word:], radius), n - 64 * word)
             a, b = np.nonzero(hit)
-            unite(parent, at + q + a, at + 64 * word + b)
+            a, b = q + a, 64 * word + b
+            yield at + a[a < b], at + b[a < b]
+
+
+def forest(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (from, to), at most one a row, that connect what pairs within the radius connect in each group."""
+    parent = np.arange(len(groups))
+    for a, b in near(groups, values, radius):
+        unite(parent, a, b)
     linked = np.flatnonzero(parent != np.arange(len(groups)))
     return linked, parent[linked]
 
@@ -223,7 +249,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 3, seed: int =
     """
     prints = cut(fingerprints(docs, size, seed))
     classes = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    found = components(link_fingerprints(classes.select("fingerprint"), radius))
+    found = stars(link_fingerprints(classes.select("fingerprint"), radius))
     labelled = classes.join(found, F.col("fingerprint") == F.col("node"), "left").select(
         "fingerprint", "first", F.coalesce("component", "fingerprint").alias("component")
     )

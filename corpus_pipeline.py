@@ -1,60 +1,77 @@
 """From raw documents to shards: five stages, each written as Parquet and read again by the next.
 
-A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents. Nulls, empty texts, repeated rows and empty tables are what the operators' docstrings say.
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents and
+nothing else, whatever other columns there are. Null and empty texts, ties and repeated rows are as each stage
+says; an empty table gives an empty one in all of them.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collectra.llm import decontaminate, mixing, nearcopies, quality, sharding
-from collectra.llm.common import cut, table, words_count
+from collectra.llm.common import cut, identity, once, shared_folder, table, words_count
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The columns of documents and ``key``; (doc_id, key) is the same for rows alike in all columns only."""
+    return docs.select(*COLUMNS, identity(*COLUMNS).alias("key"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score below 0.5) go; it learns from the labels of ``docs``."""
+    """Documents that the classifier rejects (score below 0.5) go; it learns from the labels of ``docs``.
+
+    A row is judged by its text alone: null and empty texts by the model's bias (kept if that is 0 or more), repeated
+    rows alike. Labels of a null doc_id are not learnt from; without any, all rows score 0.5 and stay.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of texts with a five-word Jaccard similarity of 0.8 or more the least doc_id stays.
+    """Of each component of texts with a five-word Jaccard similarity of 0.8 or more one row stays, the least doc_id.
 
-    Rows that repeat a doc_id are one document and stay or go together. Rows with a null doc_id stay,
-    null and wordless texts are copies of each other, and an empty table gives an empty one.
+    Null doc_ids come last; rows that share a doc_id are told apart by their other columns, and of rows alike in all
+    columns one stays. Null and wordless texts are copies of each other.
     """
-    found = nearcopies.near_copies(docs)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    return kept.select(*COLUMNS)
+    rows = keyed(docs)
+    found = nearcopies.near_copies(rows, tie=F.col("key"))
+    found = cut(found.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("component_tie"))))
+    gone = found.where("not stays").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).distinct()
+    gone = F.broadcast(gone) if found.where("not stays").count() <= 1_000_000 else gone
+    kept = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_t")), "left_anti")
+    return once(kept, found.where("stays").select("doc_id", F.col("tie").alias("key")), ["doc_id", "key"]).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with an occurrence of a benchmark window go."""
+    """Documents with an occurrence of a benchmark window go. Null and wordless texts stay; repeated rows fare alike."""
     return decontaminate.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document is repeated as often as the mix takes it (0 to 3 times)."""
-    sized = docs.select(*COLUMNS, words_count(F.col("text")).alias("size"))
-    small = cut(sized.select("doc_id", "source", "size"))
-    copies = mixing.mix(small, small).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
-    copies = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-    taken = sized.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*COLUMNS)
+    """Every row is repeated as often as the mix takes it (0 to 3 times).
+
+    Rows alike in all columns are taken as often, all together, as the mix takes them. Null texts have size 0, as
+    empty ones, and are taken as often as their source's base; null sources are one source.
+    """
+    sized = keyed(docs).withColumn("size", words_count(F.col("text")))
+    small = cut(sized.select("doc_id", "source", "size", "key"))
+    copies = mixing.mix(small, small, ties=("doc_id", "key")).where("copies > 0")
+    copies = cut(copies.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.sum("copies").cast("int").alias("copies")))
+    copies = F.broadcast(copies) if copies.count() <= 1_000_000 else copies
+    distinct = once(sized, small, ["doc_id", "key"])
+    taken = distinct.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows with their shard and slot."""
-    return sharding.shard(docs.select(*COLUMNS), 16)
+    """The rows with their shard and slot. Null sources are one source; rows alike in all columns get slots of their own."""
+    return sharding.shard(keyed(docs), 16, ties=("doc_id", "key")).drop("key")
 
 
 STAGES = [
@@ -71,7 +88,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what stands between them is written under spark.checkpoint.dir."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         path = f"{folder}/pipeline-{uuid.uuid4().hex}-{k}"
