@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from collectra.llm import chat, decontaminate, induce, language, mixing, quality, repeats, sharding, simhash, tokens, topk
-from collectra.llm.components import components
+from collectra.operators.traverse import stars as components
 
 SPACE = r"[^\x20\x09-\x0D]+"
 
