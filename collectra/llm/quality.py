@@ -15,11 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 BUCKETS = 1 << 17
-
-
+#: Bytes up to which a word is remembered.
 LONG = 64
 
 
@@ -77,13 +76,12 @@ class Words:
         return np.array(f, np.int32).tobytes() if self.weights is None else (float(self.weights[f].sum()), len(f))
 
 
-def train(texts: list[bytes], labels: list[int], width: int = 16, epochs: int = 5, rate: float = 0.5, seed: int = 37) -> tuple[np.ndarray, float]:
+def train(texts: list[bytes], labels: list[int], width: int = 16, steps: int = 30_000, rate: float = 1.0, seed: int = 37) -> tuple[np.ndarray, float]:
     """(folded weights by bucket, bias): the log-odds of label 1 is their average over the features plus the bias.
 
-    The classes weigh the same in the loss, so the rarer one is not drowned. Few rows are gone through
-    more often than ``epochs`` times, up to 8000 steps.
+    Stochastic gradient descent on the cross-entropy, ``steps`` rows long whatever their number, with a falling
+    rate. The classes weigh the same in the loss (up to ten times a row), so the rarer one is not drowned.
     """
-    epochs = max(epochs, 8000 // max(1, len(labels)))
     rng = np.random.default_rng(seed)
     known = Words()
     rows = []
@@ -93,36 +91,36 @@ def train(texts: list[bytes], labels: list[int], width: int = 16, epochs: int =
         rows.append((buckets, counts.astype(np.int32), max(1, len(f))))
     table_ = (rng.random((BUCKETS, width), np.float32) - 0.5) / width
     layer, bias = np.zeros((width, 2), np.float32), np.zeros(2, np.float32)
-    y = np.array(labels)
+    y = np.array(labels, np.int64)
     share = np.bincount(y, minlength=2) / max(1, len(y))
-    weight = np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0.0)
-    steps, done = max(1, epochs * len(y)), 0
-    for _ in range(epochs):
-        for r in rng.permutation(len(y)):
-            buckets, counts, n = rows[r]
-            lr = rate * (1 - done / steps)
-            done += 1
-            share_of = (counts / n).astype(np.float32)
-            hidden = share_of @ table_[buckets] if len(buckets) else np.zeros(width, np.float32)
-            z = hidden @ layer + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[r]] -= 1
-            p *= lr * min(weight[y[r]], 10.0)
-            back = layer @ p
-            layer -= np.outer(hidden, p)
-            bias -= p * 0.1
-            if len(buckets):
-                table_[buckets] -= (counts / counts.max())[:, None].astype(np.float32) * back * 0.5
+    weight = np.minimum(np.where(share > 0, 0.5 / np.maximum(share, 1e-9), 0.0), 10.0)
+    for done in range(steps if rows else 0):
+        if done % len(rows) == 0:
+            turn = rng.permutation(len(rows))
+        r = turn[done % len(rows)]
+        buckets, counts, n = rows[r]
+        share_of = (counts / n).astype(np.float32)
+        hidden = share_of @ table_[buckets]
+        z = hidden @ layer + bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        p[y[r]] -= 1
+        p *= rate * (1 - done / steps) * weight[y[r]]
+        back = layer @ p
+        layer -= np.outer(hidden, p)
+        bias -= p
+        table_[buckets] -= share_of[:, None] * back
     return table_ @ (layer[:, 1] - layer[:, 0]), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, seed: int = 41) -> tuple[np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, most_bytes: int = 64 << 20, seed: int = 41) -> tuple[np.ndarray, float]:
     """Trains on the texts of ``docs`` whose ``labels`` (doc_id, quality) may be learnt from (not ``held_out``).
 
-    It takes a seeded sample of about ``per_class`` labels of each class at most, so the broadcast side of
-    the join and the texts that meet in the training task are bounded by the parameter. The driver gets
-    the folded weights. Labels with a null doc_id or quality are left out. Without labels all scores are 0.5.
+    It takes a seeded sample of about ``per_class`` labels of each class at most, and of their texts about
+    ``most_bytes`` at most, so the broadcast side of the join and what meets in the training task are bounded by
+    parameters. Rows that repeat an id and its text count once; one id with several texts teaches all of them; an
+    id labelled both 0 and 1 teaches both. The driver gets the folded weights. Labels with a null doc_id or quality
+    are left out. Without labels or documents all scores are 0.5.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality"))
     rows = rows.where(F.col("_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out("_id")).distinct()
@@ -131,6 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, seed: int = 4
     rate = F.when(F.col("quality") == 1, F.lit(min(1.0, per_class / counts.get(1, 1)))).otherwise(F.lit(min(1.0, per_class / counts.get(0, 1))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "utf-8").alias("text"))
     sample = texts.join(F.broadcast(rows.where(dealt < rate)), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "quality")
+    sample = cut(sample.distinct())
+    total = sample.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    if total > most_bytes:
+        sample = sample.where(F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30) < most_bytes / total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted({(i, t or b"", y) for b in batches for i, t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)})
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 3000, seed: int = 4
 def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
     """``docs`` with ``score``, the probability of label 1 by the whole text, and ``predicted`` (1 from 0.5 on).
 
-    Null and empty texts get what the bias says. Other columns are kept; ``score`` and ``predicted`` are
+    Null and empty texts get what the bias says, repeated rows the same. An empty table gives an empty one. Other columns are kept; ``score`` and ``predicted`` are
     overwritten. The model (``BUCKETS`` numbers, whatever the data) is broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -4,7 +4,8 @@ For a segment of m components, q.x = m mean(q) mean(x) + (q - mean(q)).(x - mean
 term is at most m dev(q) dev(x). Summed over segments that bounds the score from above (and, with
 |q|^2 + |x|^2 - 2 q.x, the squared distance from below). Bounds over 1, 4 and 16 segments are dot
 products of 2, 8 and 32 numbers; only candidates whose bound reaches the query's k-th best score so far
-go to the next level, and survivors get their exact integer score.
+go to the next level, and survivors get their exact integer score, the best-bounded first. What that saves
+depends on the vectors: neighbours much nearer than the rest let bounds cut, random directions don't.
 """
 
 from __future__ import annotations
@@ -53,61 +54,90 @@ class Best:
             self.floor[q] = score[order[-1]]
 
 
-def search(queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, rows: np.ndarray, best: Best, levels: list[np.ndarray], tile: int = 512) -> None:
-    """Scores ``rows`` against all queries, a tile of rows at a time, into ``best``."""
+def search(queries: tuple[np.ndarray, np.ndarray], ids: np.ndarray, rows: np.ndarray, best: Best, levels: list[np.ndarray]) -> int:
+    """Scores ``rows`` against all queries, a tile of rows at a time, into ``best``; returns how many exact scores that took.
+
+    In a tile a query's survivors are taken by falling bound: the k best-bounded first, which raise its floor, then
+    those of the others that still reach it.
+    """
     qid, qrows = queries
+    exact, tile = 0, max(64, min(512, (1 << 22) // max(1, len(qid))))
     for at in range(0, len(rows), tile):
         own, mine = ids[at : at + tile], rows[at : at + tile]
-        alive = np.ones((len(qid), len(own)), bool)
+        alive, bound = qid[:, None] != own[None, :], np.full((len(qid), len(own)), np.inf)
         for segments, stat in zip(SEGMENTS, levels, strict=True):
             need, use = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
             if not len(need) or not len(use):
                 break
-            bound = stat[need] @ statistics(mine[use], segments).T
             slack = 1e-9 * np.abs(stat[need]).sum(axis=1, keepdims=True) * (1 + np.abs(mine[use]).max(initial=0)) + 1e-6
-            alive[np.ix_(need, use)] &= bound + slack >= best.floor[need][:, None]
-        alive &= qid[:, None] != own[None, :]
+            here = np.ix_(need, use)
+            bound[here] = np.minimum(bound[here], stat[need] @ statistics(mine[use], segments).T + slack)
+            alive[here] &= bound[here] >= best.floor[need][:, None]
         for q in np.flatnonzero(alive.any(axis=1)):
             c = np.flatnonzero(alive[q])
+            if len(c) > best.k:
+                c = c[np.argsort(-bound[q, c], kind="stable")]
+                best.add(q, own[c[: best.k]], mine[c[: best.k]] @ qrows[q])
+                exact += best.k
+                c = c[best.k :]
+                c = c[bound[q, c] >= best.floor[q]]
             best.add(q, own[c], mine[c] @ qrows[q])
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_rows: int = 16384) -> DataFrame:
+            exact += len(c)
+    return exact
+
+
+def by_size(ids: np.ndarray, lists: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """(ids, rows as a matrix) by number of components."""
+    offsets = lists.offsets.to_numpy()
+    flat, lengths = lists.values.to_numpy(zero_copy_only=False), np.diff(offsets)
+    found = {}
+    for size in np.unique(lengths).tolist():
+        pick = np.flatnonzero(lengths == size)
+        found[size] = ids[pick], flat[offsets[pick][:, None] + np.arange(size)]
+    return found
+
+
+def collected(block: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The block's distinct (id, vector) on the driver, by number of components."""
+    got = block.toArrow().combine_chunks()
+    if not got.num_rows:
+        return {}
+    lists = got.column(1).chunk(0).cast(pa.list_(pa.int64()))
+    out = {}
+    for size, (ids, rows) in by_size(got.column(0).to_numpy(), lists).items():
+        both = np.unique(np.concatenate([ids[:, None], rows], axis=1), axis=0)
+        out[size] = both[:, 0].copy(), both[:, 1:].copy()
+    return out
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` highest inner products of each query, ties to the lesser id.
 
     Both tables have (vec_id, vector: array of long, null where it takes no part). Candidates are all rows
     with another id and as many components; rows with a null id or vector take no part. A query id that
-    repeats with the same vector is one query. Queries are taken in blocks of ``block_rows``, each of which
-    is collected and broadcast (its size is the bound), and each block meets every candidate. A task
-    returns at most k rows a query and partition. Fewer candidates: fewer rows. Empty tables: no rows.
-    Scores outside 64 bits are not defined. Other columns, whatever their names, are left out.
+    repeats with the same vector is one query; with another vector, the best of both count. Queries are
+    taken in blocks of about ``block_bytes`` (ids and components), dealt by hash of the id; a block is collected
+    and broadcast, and meets every candidate. A task returns at most k rows a query and partition. Fewer
+    candidates: fewer rows. Empty tables: no rows. Scores outside 64 bits are not defined. Other columns,
+    whatever their names, are left out.
     """
     spark = vectors.sparkSession
-    usable = vectors.where("vec_id is not null and vector is not null").select("vec_id", "vector")
-    asked = queries.where("vec_id is not null and vector is not null").select("vec_id", "vector")
-    n = asked.count()
-    blocks = max(1, -(-n // block_rows))
+    usable = vectors.where("vec_id is not null and vector is not null").select(F.col("vec_id").cast("long"), "vector")
+    asked = queries.where("vec_id is not null and vector is not null").select(F.col("vec_id").cast("long"), "vector")
+    total = asked.agg(F.sum(8 * F.size("vector") + 8)).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
     parts = []
     for b in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)) == b)
-        rows = sorted({(r[0], tuple(r[1])) for r in block.toLocalIterator()})
-        sizes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for size in {len(v) for _, v in rows}:
-            own = [(i, v) for i, v in rows if len(v) == size]
-            sizes[size] = np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.int64).reshape(len(own), size)
-        shared = spark.sparkContext.broadcast(sizes)
+        shared = spark.sparkContext.broadcast(collected(block))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = {s: (q, Best(len(q[0]), k), [statistics(q[1], x) for x in SEGMENTS]) for s, q in shared.value.items()}
             for batch in batches:
-                ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-                lengths = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                starts = np.cumsum(lengths) - lengths
-                for size, (q, best, levels) in held.items():
-                    pick = np.flatnonzero(lengths == size)
-                    if len(pick):
-                        search(q, ids[pick], flat[starts[pick][:, None] + np.arange(size)], best, levels)
+                for size, (ids, rows) in by_size(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)).items():
+                    if size in held:
+                        q, best, levels = held[size]
+                        search(q, ids, rows, best, levels)
             for q, best, _ in held.values():
                 count = [len(x) for x in best.ids]
                 if sum(count):

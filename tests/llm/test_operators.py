@@ -110,7 +110,7 @@ def test_top_k_ties_nulls_and_blocks(spark):
     rows = [(i, [rng.choice([-0.5, 0.0, 0.25, 1.0]) for _ in range(8)]) for i in range(300)] + [(300, None), (301, [None] * 8), (302, [float("nan")] * 8), (None, [0.0] * 8), (303, [1.0]), (400, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.integers(F.col("embedding")).alias("vector"))
     got = {}
-    for r in topk.top_k(df, df.where("vec_id % 100 = 0"), 10, block_rows=2).collect():
+    for r in topk.top_k(df, df.where("vec_id % 100 = 0"), 10, block_bytes=144).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     good = {i: np.floor(1024 * np.array(v)).astype(int) for i, v in rows[:300]}
     for q in (0, 100, 200):
