@@ -58,13 +58,17 @@ def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
 
 def planes(values: np.ndarray) -> np.ndarray:
     """(bits, words): bit j of word w in row b is bit b of fingerprint 64 w + j; ``values`` is (n,) or (n, words a fingerprint)."""
-    wide = values.reshape(len(values), -1)
-    bits = (wide.T[:, None, :] >> np.arange(64, dtype=np.uint64)[None, :, None]).astype(np.uint8) & 1
-    packed = np.packbits(bits.reshape(-1, len(wide)), axis=1, bitorder="little")
+    packed = np.packbits(bits_of(values), axis=1, bitorder="little")
     packed = np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))
     return packed.view(np.uint64)
 
 
+def bits_of(values: np.ndarray) -> np.ndarray:
+    """(bits, n) of zeros and ones."""
+    raw = np.ascontiguousarray(values.reshape(len(values), -1)).view(np.uint8)
+    return np.ascontiguousarray(np.unpackbits(raw, axis=1, bitorder="little").T)
+
+
 def adder(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Carry-save: three bits of one weight make one of that weight and one of twice the weight."""
     x = a ^ b
@@ -143,8 +147,8 @@ def near(groups: np.ndarray, values: np.ndarray, radius: int) -> Iterator[tuple[
         label = np.repeat(np.arange(len(small)), own)
         for s in range(1, int(own[0])):
             n = int(own[own > s].sum())  # groups are in falling order of size
-            for at in range(0, n, 1 << 18):  # bounds what is unpacked at a time
-                end = min(n, at + (1 << 18))
+            for at in range(0, n, 1 << 15):  # bounds what is unpacked at a time
+                end = min(n, at + (1 << 15))
                 some = rows[at : min(n, end + s)]
                 stack = planes(values[some])
                 ahead = np.pad(stack, ((0, 0), (0, 1)))
@@ -160,9 +164,7 @@ def near(groups: np.ndarray, values: np.ndarray, radius: int) -> Iterator[tuple[
         block = values[at : at + n]
         stack = planes(block)[:, None, :]
         for q in range(0, n, 32):
-            asked = block[q : q + 32].reshape(min(32, n - q), -1)
-            bits = (asked.T[:, None, :] >> np.arange(64, dtype=np.uint64)[None, :, None] & np.uint64(1)).reshape(-1, len(asked))
-            mask = np.where(bits == 1, FULL, np.uint64(0))[:, :, None]
+            mask = np.where(bits_of(block[q : q + 32]) == 1, FULL, np.uint64(0))[:, :, None]
             word = q // 64
             hit = lanes(within(mask, stack[:, :, word:], radius), n - 64 * word)
             a, b = np.nonzero(hit)

@@ -43,7 +43,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = nearcopies.near_copies(rows, tie=F.col("key"))
     found = cut(found.withColumn("stays", F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("tie") == F.col("component_tie"))))
     gone = found.where("not stays").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).distinct()
-    gone = F.broadcast(gone) if found.where("not stays").count() <= 1_000_000 else gone
+    gone = F.broadcast(gone) if found.where("not stays").count() <= 500_000 else gone
     kept = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_t")), "left_anti")
     return once(kept, found.where("stays").select("doc_id", F.col("tie").alias("key")), ["doc_id", "key"]).select(*COLUMNS)
 
@@ -63,7 +63,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     small = cut(sized.select("doc_id", "source", "size", "key"))
     copies = mixing.mix(small, small, ties=("doc_id", "key")).where("copies > 0")
     copies = cut(copies.groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).agg(F.sum("copies").cast("int").alias("copies")))
-    copies = F.broadcast(copies) if copies.count() <= 1_000_000 else copies
+    copies = F.broadcast(copies) if copies.count() <= 500_000 else copies
     distinct = once(sized, small, ["doc_id", "key"])
     taken = distinct.join(copies, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
@@ -71,7 +71,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with their shard and slot. Null sources are one source; rows alike in all columns get slots of their own."""
-    return sharding.shard(keyed(docs), 16, ties=("doc_id", "key")).drop("key")
+    rows = keyed(docs)
+    small = cut(rows.select("doc_id", "source", "key"))
+    placed = sharding.shard(small, 16, ties=("doc_id", "key")).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "shard", "slot")
+    placed = F.broadcast(cut(placed)) if small.count() <= 500_000 else placed
+    found = once(rows, small, ["doc_id", "key"]).join(placed, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
+    return found.select(*COLUMNS, "shard", "slot")
 
 
 STAGES = [
