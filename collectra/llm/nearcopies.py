@@ -4,14 +4,15 @@ A text is the set of its distinct ``size``-word shingles (64-bit hashes). Two se
 share one among their first n - ceil(p n / q) + 1 in any one order of all shingles, so such a shingle is the key
 that names a block, and no pair is lost by blocking. The order is by hash, with shingles that begin too many texts
 put last. In a block, ``bits``-wide SimHash fingerprints of the sets are compared bit-sliced (``simhash.within``);
-pairs within the radius are candidates, and each candidate is checked on all shingles of both texts.
+pairs within the radius are candidates, and what is linked is decided on all shingles of both texts.
 
 A pair of similarity 0.8 differs in 15 % of its fingerprint bits, 19 % where texts have a handful of shingles: 39 to 48
 of 256 with a deviation of 6. The radius of 80 passes it over with a chance below one in a million. At 80 bits two
-sets share about 0.39 of their shingles, so few pairs are checked in vain.
+sets share about 0.39 of their shingles, so few texts are checked in vain.
 
-Not all pairs of a group are checked: first each text's nearest-named candidate of a block, then its farthest-named
-one that is still apart, then what is still apart after both.
+First each text is checked against one candidate of each block. Most copies are connected after that. Texts that
+still have candidates they are not connected with are grouped by them, and in a group all pairs that are apart are
+checked, part against part in tasks of their own; no pair is ever a row there, and each text travels once a part.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..operators.traverse import stars
 from .common import cut
-from .simhash import near
+from .simhash import near, unite
 
 LANES, BASE = np.uint64(0x0101010101010101), np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,7 +35,7 @@ LANES, BASE = np.uint64(0x0101010101010101), np.uint64(0x9E3779B97F4A7C15)
 class Words(dict):
     """64-bit hashes of words; up to ``memory`` words are remembered."""
 
-    memory = 500_000
+    memory = 100_000
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)
@@ -91,7 +92,7 @@ def fingerprints(grams: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
     cuts = np.repeat(starts, parts) + 255 * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     edge = np.cumsum(parts) - parts
     for w in range(bits // 64):
-        h = mixed(grams * np.uint64(2 * w + 1) + BASE * np.uint64(w + 1))
+        h = mixed(grams * np.uint64(2 * w + 1) + np.uint64(int(BASE) * (w + 1) % 2**64))
         ones = np.zeros((len(some), 64), np.int64)
         for b in range(8):
             sums = np.add.reduceat((h >> np.uint64(b)) & LANES, cuts)
@@ -116,7 +117,7 @@ def prefixes(grams: np.ndarray, n: np.ndarray, similarity: tuple[int, int], last
     return grams[place < np.repeat(m, n)], m
 
 
-def read(batches: Iterator[pa.RecordBatch], size: int, words: Words, step: int = 1000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def read(batches: Iterator[pa.RecordBatch], size: int, words: Words, step: int = 250) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Some rows at a time (the last column is the text): the rows, their shingles, how many."""
     for batch in batches:
         for i in range(0, batch.num_rows, step):
@@ -172,11 +173,29 @@ def whole_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "row long, grams array<long>")
 
 
-def candidates(at: DataFrame, similarity: tuple[int, int], radius: int, block_rows: int, pick: str) -> DataFrame:
-    """Distinct pairs (a < b) of rows that share a gram, are near and apart (``c`` differs).
-
-    ``pick`` is ``first`` (a row's least-named such partner in each block), ``last`` (the greatest-named one after it) or ``all``.
-    A gram with more than ``block_rows`` rows is dealt into parts, and each pair of parts is a block.
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.Array]]:
+    """Rows sorted by their first two columns, whole groups at a time, as columns."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        one, two = held.column(0).to_numpy(), held.column(1).to_numpy()
+        first = int(np.argmax((one == one[-1]) & (two == two[-1])))
+        if first:
+            yield [c.combine_chunks() for c in held.slice(0, first).columns]
+            held = held.slice(first)
+    if held is not None:
+        yield [c.combine_chunks() for c in held.columns]
+
+
+def candidates(at: DataFrame, similarity: tuple[int, int], radius: int, block_rows: int, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of rows that share a gram, are near and apart (``c`` differs), at most one a row and block.
+
+    With ``spanning`` they connect what near pairs connect (a and b themselves may be farther apart); else b is
+    a's least-named near row, or its next one. Every row with a near one is in a pair. A gram with more than
+    ``block_rows`` rows is dealt into parts, and each pair of parts is a block.
     """
     p, q = similarity
     parts = F.ceil(F.col("texts") / block_rows).cast("int")
@@ -185,46 +204,95 @@ def candidates(at: DataFrame, similarity: tuple[int, int], radius: int, block_ro
     dealt = at.withColumn("parts", parts).select("gram", F.explode(F.when(F.col("parts") < 2, F.array(F.lit(0))).otherwise(pair)).alias("part"), "row", "n", "c", "print")
     dealt = dealt.repartition("gram", "part").sortWithinPartitions("gram", "part", "row")
 
-    def block(key: np.ndarray, part: np.ndarray, row: np.ndarray, n: np.ndarray, c: np.ndarray, prints: np.ndarray) -> Iterator[pa.RecordBatch]:
-        group = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
-        found, none = [], len(row)
-        best, other = np.full(none, -1 if pick == "last" else none), np.full(none, none)
-        for a, b in near(group, prints, radius):
-            good = (c[a] != c[b]) & (np.minimum(n[a], n[b]) * q >= np.maximum(n[a], n[b]) * p)
-            a, b = a[good], b[good]
-            if pick == "all":
-                found.append(np.unique(np.stack([row[a], row[b]], axis=1), axis=0))
-            elif pick == "first":
-                np.minimum.at(best, b, a)
-                np.minimum.at(other, a, b)
-            else:
-                np.maximum.at(best, a, b)
-        if pick != "all":
-            best = np.where(best == none, other, best)  # so that every row with a partner is in a pair
-            at = np.flatnonzero((best >= 0) & (best < none))
-            found.append(np.stack([row[at], row[best[at]]], axis=1))
-        for f in found:
-            f = np.sort(f, axis=1)
-            if len(f):
-                yield pa.RecordBatch.from_arrays([pa.array(f[:, 0]), pa.array(f[:, 1])], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in grouped(batches):
+            key, part, row, n, c = (x.to_numpy(zero_copy_only=False) for x in columns[:5])
+            prints = np.frombuffer(b"".join(columns[5].to_pylist()), np.uint64).reshape(len(row), -1)
+            group, none = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])]), len(row)
+            parent, before, after = np.arange(none), np.full(none, none), np.full(none, none)
+            for a, b in near(group, prints, radius):
+                good = (c[a] != c[b]) & (np.minimum(n[a], n[b]) * q >= np.maximum(n[a], n[b]) * p)
+                a, b = a[good], b[good]
+                if spanning:
+                    unite(parent, a, b)
+                else:
+                    np.minimum.at(before, b, a)
+                    np.minimum.at(after, a, b)
+            best = parent if spanning else np.where(before < none, before, after)
+            at = np.flatnonzero((best < none) & (best != np.arange(none)))
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(row[at]), pa.array(row[best[at]])], ["a", "b"])
+
+    found = dealt.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def overlaps(grams: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, step: int = 1 << 14) -> np.ndarray:
+    """(left, right): how many shingles each text of ``left`` shares with each of ``right``, by bitmaps over the shared ones."""
+    _, name, times = np.unique(grams, return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    owner, kept = np.repeat(np.arange(len(n)), n), times[name] > 1
+    owner, name = owner[kept], number[name[kept]]
+    turn = np.argsort(name, kind="stable")
+    owner, name = owner[turn], name[turn]
+    out = np.zeros((len(left), len(right)), np.int64)
+    for low in range(0, int(name[-1]) + 1 if len(name) else 0, step):
+        a, b = np.searchsorted(name, (low, low + step))
+        bits = np.zeros((len(n), step), bool)
+        bits[owner[a:b], name[a:b] - low] = True
+        words = np.packbits(bits[:, : -(-min(step, int(name[b - 1]) - low + 1) // 64) * 64], axis=1).view(np.uint64)
+        other = words[right]
+        for i, x in enumerate(left.tolist()):
+            out[i] += np.bitwise_count(words[x] & other).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def checked(groups: DataFrame, similarity: tuple[int, int], part_rows: int = 512) -> DataFrame:
+    """Links (a, b) that connect what pairs of the similarity connect, of rows (row, component, c, grams) in one ``component`` and apart (``c`` differs).
+
+    A component's rows are dealt into parts, and each pair of parts is compared in a task of its own; rows of the
+    component's commonest ``c``, if that has most of them, are not compared with each other.
+    """
+    p, q = similarity
+    by_c = groups.groupBy("component", "c").agg(F.count(F.lit(1)).alias("_n"))
+    about = by_c.groupBy(F.col("component").alias("_k")).agg(F.sum("_n").alias("_all"), F.max(F.struct("_n", "c")).alias("_top"))
+    main = F.when(F.col("_top._n") * 2 > F.col("_all"), F.col("_top._n")).otherwise(F.lit(0))
+    about = about.select("_k", F.col("_top.c").alias("_c"), F.ceil(main / part_rows).cast("long").alias("pm"), F.ceil((F.col("_all") - main) / part_rows).cast("long").alias("po"))
+    u = F.xxhash64(F.lit(9), "row")
+    others, mains = F.sequence(F.lit(0).cast("long"), F.col("po") - 1), F.sequence(F.lit(0).cast("long"), F.col("pm") - 1)
+    mo, mm = F.pmod(u, F.greatest("po", F.lit(1))), F.pmod(u, F.greatest("pm", F.lit(1)))
+
+    def place(code: Column, side: Column) -> Column:
+        return F.struct(code.cast("long").alias("part"), side.cast("int").alias("side"))
+
+    as_main = F.transform(others, lambda i: place(F.col("po") * F.col("po") + i * F.col("pm") + mm, F.lit(1)))
+    as_other = F.transform(others, lambda i: place(F.least(mo, i) * F.col("po") + F.greatest(mo, i), F.when(i < mo, 1).otherwise(0)))
+    with_mains = F.when(F.col("pm") > 0, F.transform(mains, lambda j: place(F.col("po") * F.col("po") + mo * F.col("pm") + j, F.lit(0)))).otherwise(F.array().cast("array<struct<part:long,side:int>>"))
+    is_main = (F.col("pm") > 0) & (F.col("c") == F.col("_c"))
+    places = F.when(F.col("po") < 1, F.array().cast("array<struct<part:long,side:int>>")).when(is_main, as_main).otherwise(F.concat(as_other, with_mains))
+    dealt = groups.join(about, F.col("component") == F.col("_k")).select("component", F.explode(places).alias("at"), "row", "c", "grams")
+    dealt = dealt.select("component", "at.part", "at.side", "row", "c", "grams").repartition("component", "part").sortWithinPartitions("component", "part", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(batch.num_rows, -1))
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            first = int(np.argmax((columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])))
-            held = [x[first:] for x in columns]
-            if first:
-                yield from block(*(x[:first] for x in columns))
-        if held is not None:
-            yield from block(*held)
-
-    return dealt.select("gram", "part", "row", "n", "c", "print").mapInArrow(run, "a long, b long").distinct()
+        for columns in grouped(batches):
+            key, part, side, row, c = (x.to_numpy(zero_copy_only=False) for x in columns[:5])
+            flat, offsets = columns[5].values.to_numpy(), columns[5].offsets.to_numpy()
+            edges = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]), True])
+            a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                n, own, at = np.diff(offsets[x : y + 1]), c[x:y], side[x:y]
+                left, right = (np.flatnonzero(at == 0), np.flatnonzero(at == 1)) if 0 < at.sum() < y - x else (np.arange(y - x),) * 2
+                both = overlaps(flat[offsets[x] : offsets[y]], n, left, right)
+                good = ((p + q) * both >= p * (n[left][:, None] + n[right][None, :])) & (own[left][:, None] != own[right][None, :])
+                i, j = np.nonzero(good)
+                parent = np.arange(y - x)
+                unite(parent, left[i], right[j])
+                linked = np.flatnonzero(parent != np.arange(y - x))
+                a_all.append(row[x + linked])
+                b_all.append(row[x + parent[linked]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_all)), pa.array(np.concatenate(b_all))], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def similar(pairs: DataFrame, grams: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -256,18 +324,18 @@ def near_copies(
     shared = dealt.join(dealt.groupBy("gram").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1"), "gram")
     one = rows.groupBy("row").agg(F.any_value("n").alias("n"), F.any_value("print").alias("print"))
     shared = cut(shared.join(one, "row").select("gram", "texts", "row", "n", F.col("row").alias("c"), "print"))
-    pairs = cut(candidates(shared, similarity, radius, block_rows, "first"))
-    asked = cut(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())  # what else is near has a partner here too
+    pairs = cut(candidates(shared, similarity, radius, block_rows, False))
+    asked = cut(pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct())
     ids = classes.join(asked, "row", "left_semi").select(F.col("least.doc_id").alias("_i")).distinct()
-    ids = F.broadcast(ids) if asked.count() <= 1_000_000 else ids
+    ids = F.broadcast(ids) if asked.count() <= 500_000 else ids
     grams = whole_sets(texts.join(ids, F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi").select("text"), size)
     grams = cut(grams.join(asked, "row", "left_semi").dropDuplicates(["row"]))
     links = cut(similar(pairs, grams, similarity))
-    shared = cut(shared.join(asked, "row", "left_semi"))
-    for pick in ("last", "all"):
-        found = stars(links).withColumnRenamed("node", "row")
-        apart = shared.drop("c").join(found, "row", "left").withColumn("c", F.coalesce("component", "row"))
-        links = links.unionByName(cut(similar(candidates(apart, similarity, radius, block_rows, pick), grams, similarity)))
+    found = cut(stars(links)).select(F.col("node").alias("row"), F.col("component").alias("_c"))
+    apart = shared.drop("c").join(asked, "row", "left_semi").join(found, "row", "left").withColumn("c", F.coalesce("_c", "row"))
+    groups = stars(candidates(apart, similarity, radius, block_rows, True)).withColumnRenamed("node", "row")
+    groups = groups.join(found, "row", "left").select("row", "component", F.coalesce("_c", "row").alias("c")).join(grams, "row")
+    links = cut(links.unionByName(checked(groups, similarity)))
     found = stars(links).withColumnRenamed("node", "row")
     labelled = cut(classes.join(found, "row", "left").select("row", "least", F.coalesce("component", "row").alias("component")))
     ids = labelled.groupBy("component").agg(F.min("least").alias("first"))
