@@ -218,8 +218,7 @@ query("list_add_first_last", f"SELECT 0 AS idx, 'a' AS value UNION ALL SELECT id
 query("list_remove_first_last", f"SELECT idx - 1 AS idx, value FROM {{LE}} WHERE idx > 0 AND idx < {N} - 1")(lambda s, sf: seq.remove_last(seq.remove_first(LE(s, sf))))
 query("list_split", f"SELECT idx, value, CAST(least(idx // ({N} // 7), 6) AS INTEGER) AS part FROM {{LE}}")(lambda s, sf: seq.split(LE(s, sf), 7))
 query("list_sort_stable", "SELECT row_number() OVER (ORDER BY value, idx) - 1 AS idx, value FROM {LE}")(lambda s, sf: seq.sort(LE(s, sf)))
-query("list_merge_sorted", "SELECT row_number() OVER (ORDER BY value) - 1 AS idx, value FROM (SELECT value FROM {LE} WHERE idx < 100 UNION ALL SELECT value FROM {LE} WHERE idx < 50)")(lambda s, sf: seq.merge_sorted(LE(s, sf).where("idx < 100"), LE(s, sf).where("idx < 50")))
-query("list_merge_sorted_whole", "SELECT row_number() OVER (ORDER BY event_type) - 1 AS idx, event_type AS value FROM events")(
+query("list_merge_sorted", "SELECT row_number() OVER (ORDER BY event_type) - 1 AS idx, event_type AS value FROM events")(
     lambda s, sf: seq.merge_sorted(*(seq.sort(seq.from_order(t(s, sf, "events").where(F.pmod("event_id", F.lit(2)) == k), "event_type", "ts", "event_id")) for k in (0, 1)))
 )  # whole sorted sequences that partition the events
 query("list_indexed", "SELECT idx + 5 AS idx, value FROM {LE}")(lambda s, sf: seq.indexed(LE(s, sf), 5))
@@ -328,9 +327,9 @@ def X():
 for _name, _f, _s in (
     ("size", lambda: text.size(X()), "length(text)"),
     ("nth", lambda: text.nth(X(), 2), "unicode(substr(text, 3, 1))"),
-    ("insert", lambda: F.md5(text.insert(X(), 2, F.lit("é"))), "md5(substr(text, 1, 2) || 'é' || substr(text, 3))"),
-    ("remove", lambda: F.md5(text.remove(X(), 1, 4)), "md5(substr(text, 1, 1) || substr(text, 5))"),
-    ("slice", lambda: text.slice_(X(), 1, 12), "substr(text, 2, 11)"),
+    ("insert", lambda: F.md5(text.insert(X(), F.least(F.lit(2), F.length(X())), F.lit("é"))), "md5(substr(text, 1, 2) || 'é' || substr(text, 3))"),
+    ("remove", lambda: F.md5(text.remove(X(), *(F.least(F.lit(k), F.length(X())) for k in (1, 4)))), "md5(substr(text, 1, 1) || substr(text, 5))"),
+    ("slice", lambda: text.slice_(X(), *(F.least(F.lit(k), F.length(X())) for k in (1, 12))), "substr(text, 2, 11)"),
     ("concat", lambda: F.md5(text.concat(X(), F.lit("|"), X())), "md5(text || '|' || text)"),
     ("reverse", lambda: F.md5(text.reverse(X())), "md5(reverse(text))"),
     ("utf16_length", lambda: text.utf16_length(X()).cast("long"), "length(text)"),
@@ -432,3 +431,145 @@ def paths(s, sf, starts):
 COST = "p(id, cost, n) AS (SELECT id, 0, 0 FROM s UNION SELECT e.dst, p.cost + e.value + e.dst % 4, n + 1 FROM p JOIN e ON e.src = p.id WHERE n < 40 AND cost < 120) SELECT CAST(min(cost) AS BIGINT) AS cost FROM p WHERE n > 0 AND id % 10 = 3 HAVING count(*) > 0"
 query("graph_shortest_path_cost", f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {{DG}}), s AS (SELECT {FIRST} AS id), " + COST)(lambda s, sf: paths(s, sf, start))
 query("graph_shortest_path_multi_source", "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {DG}), s AS (SELECT id FROM {DV} WHERE id % 97 = 0), " + COST)(lambda s, sf: paths(s, sf, lambda x: x.vertices.where("id % 97 = 0")))
+
+
+# What was compared by a constant, by value.
+def cases(s, sf):
+    a, l, x = A(s, sf), LE(s, sf), DG(s, sf)
+    changed = maps.map_values(a, lambda k, v: F.when(k == 1, v + 1).otherwise(v))
+    swapped = seq.update(l, 3, lambda _: F.lit("other"))
+    got = {
+        "map same": maps.equals(a, maps.merge(a, a, lambda v, _: v)), "map changed": maps.equals(a, changed), "map other": maps.equals(a, B(s, sf)),
+        "map close": maps.equals(a, changed, lambda v, w: F.abs(v - w) <= 1), "set same": sets.equals(key_set(a), key_set(changed)), "set other": sets.equals(key_set(a), key_set(B(s, sf))),
+        "list same": seq.equals(l, l), "list changed": seq.equals(l, swapped), "list alike": seq.equals(l, seq.lazy_map(l, F.upper), lambda v, w: F.lower(v) == F.lower(w)),
+        "graph same": g.equals(x, g.transpose(g.transpose(x))), "graph turned": g.equals(x, g.transpose(x)),
+    }
+    return reduce(DataFrame.unionByName, [e.select(F.lit(k).alias("name"), "equal") for k, e in got.items()])
+
+
+def same_rows(a: str, b: str) -> str:
+    return f"(SELECT count(*) = 0 FROM ((SELECT * FROM {a} EXCEPT ALL SELECT * FROM {b}) UNION ALL (SELECT * FROM {b} EXCEPT ALL SELECT * FROM {a})))"
+
+
+CHANGED = "(SELECT key, CASE WHEN key = 1 THEN value + 1 ELSE value END AS value FROM {A})"
+OTHER = "(SELECT idx, CASE WHEN idx = 3 THEN 'other' ELSE value END AS value FROM {LE})"
+TURNED = "(SELECT dst AS src, src AS dst, value FROM {DG})"
+query(
+    "equality_cases",
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS name, {same_rows(a, b)} AS equal"
+        for name, a, b in (
+            ("map same", "{A}", "(SELECT * FROM {A})"), ("map changed", "{A}", CHANGED), ("map other", "{A}", "{B}"), ("set same", "{SA}", "(SELECT key FROM " + CHANGED + ")"), ("set other", "{SA}", "{SB}"),
+            ("map close", "{A}", "(SELECT key, value - CASE WHEN key = 1 THEN 1 ELSE 0 END FROM " + CHANGED + ")"), ("list same", "{LE}", "(SELECT * FROM {LE})"), ("list changed", "{LE}", OTHER),
+            ("list alike", "(SELECT idx, upper(value) FROM {LE})", "(SELECT idx, upper(value) FROM {LE})"), ("graph same", "{DG}", "(SELECT * FROM {DG})"), ("graph turned", "{DG}", TURNED),
+        )
+    ),
+)(cases)
+
+
+def numbered(s, sf):
+    c = t(s, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.when(F.col("c_custkey") % 11 == 0, -F.col("c_acctbal")).otherwise(F.col("c_acctbal"))).alias("x"))
+    coded = c.withColumn("n", encodings.double_to_long("x"))
+    return positions(coded.withColumn("back", encodings.long_to_double("n")).drop("x"), F.asc_nulls_first("n"), "c_custkey").select("c_custkey", "back", "idx")
+
+
+query("double_order_ranks", "SELECT c_custkey, x AS back, row_number() OVER (ORDER BY x NULLS FIRST, c_custkey) - 1 AS idx FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN CASE WHEN c_custkey % 11 = 0 THEN -c_acctbal ELSE c_acctbal END END AS x FROM customer)")(numbered)
+POINTS = "list_transform(string_split(text, ''), lambda c: unicode(c))"
+for _name, _f, _s in (
+    ("points_each", lambda: F.md5(F.array_join(text.code_points(X()), ",")), f"md5(array_to_string({POINTS}, ','))"),
+    ("units_each", lambda: F.md5(F.array_join(text.utf16_units(X()), ",")), f"md5(array_to_string(list_transform({POINTS}, lambda p: CASE WHEN p < 65536 THEN CAST(p AS VARCHAR) ELSE ((p - 65536) // 1024 + 55296) || ',' || ((p - 65536) % 1024 + 56320) END), ','))"),
+    ("bytes_each", lambda: F.md5(F.hex(text.utf8(X()))), "md5(hex(encode(text)))"),
+    ("from_points", lambda: F.md5(text.from_code_points(text.code_points(X()))), "md5(text)"),
+    ("from_units", lambda: F.md5(text.from_utf16(text.utf16_units(X()))), "md5(text)"),
+    ("nth_or_null", lambda: text.nth(X(), 40), "CASE WHEN length(text) > 40 THEN unicode(substr(text, 41, 1)) END"),
+):
+    query(f"text_{_name}", f"SELECT doc_id, {_s} AS value FROM documents WHERE text <> ''")(lambda s, sf, f=_f: doc(s, sf, "text").where("text <> ''").select("doc_id", f().alias("value")))
+query("text_chunks", "SELECT doc_id, CAST(i AS INTEGER) AS idx, md5(substr(text, i * 1000 + 1, 1000)) AS value FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil(length(text) / 1000) AS BIGINT)))) AS i FROM documents WHERE text IS NOT NULL)")(
+    lambda s, sf: text.chunks(doc(s, sf, "text"), ["doc_id"], "text", 1000).select("doc_id", "idx", F.md5("text").alias("value"))
+)
+query("text_chunks_joined", "SELECT doc_id, md5(text) AS value FROM documents WHERE text IS NOT NULL")(lambda s, sf: text.joined(text.chunks(doc(s, sf, "text"), ["doc_id"], "text", 1000), ["doc_id"]).select("doc_id", F.md5("text").alias("value")))
+
+# Comparators, splits by range, checked lookups, custom hashes and printers.
+LAST2 = "substr(c_name, length(c_name) - 1)"
+
+
+def named(s, sf):
+    return t(s, sf, "customer").groupBy(F.expr(LAST2).alias("key")).agg(F.min("c_custkey").alias("value"))
+
+
+def turned(c):
+    return F.reverse(c)
+
+
+NAMED = f"(SELECT {LAST2} AS key, min(c_custkey) AS value FROM customer GROUP BY 1)"
+query("sorted_slice_by", f"SELECT * FROM {NAMED} WHERE reverse(key) >= reverse('03') AND reverse(key) < reverse('57')")(lambda s, sf: ordered.slice_(named(s, sf), "03", "57", by=turned))
+query("sorted_first_last_by", f"SELECT arg_min(key, reverse(key)) AS first_key, arg_max(key, reverse(key)) AS last_key FROM {NAMED}")(lambda s, sf: ordered.first_last(named(s, sf), turned))
+query("sorted_floor_by", f"SELECT id, probe, key, value FROM (SELECT s_suppkey AS id, substr(CAST(s_suppkey * 37 AS VARCHAR), 1, 2) AS probe FROM supplier) p ASOF LEFT JOIN (SELECT *, reverse(key) AS k FROM {NAMED}) m ON reverse(p.probe) >= m.k")(
+    lambda s, sf: ordered.lookup(named(s, sf), t(s, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.substring((F.col("s_suppkey") * 37).cast("string"), 1, 2).alias("probe")), by=turned)
+)
+query("map_split_range", "SELECT key, value, CAST(idx * 4 // (SELECT count(*) FROM {AP}) AS INTEGER) AS part FROM {AP}")(lambda s, sf: maps.split_range(A(s, sf), 4))
+query("set_split_range", "SELECT value, CAST(idx * 4 // (SELECT count(*) FROM {SP}) AS INTEGER) AS part FROM {SP}")(lambda s, sf: sets.split_range(key_set(A(s, sf)), 4))
+query("set_split_recombine", "SELECT value FROM {SA}")(lambda s, sf: (lambda x: reduce(sets.union, [x.where(F.col("part") == k).select("value") for k in range(3)]))(sets.split(key_set(A(s, sf)), 3)))
+query("map_get_strict", "SELECT key, value FROM {A}")(lambda s, sf: maps.get_strict(A(s, sf), maps.keys(A(s, sf)).withColumnRenamed("value", "key")))
+query("graph_edge_strict", "SELECT src, dst, value FROM {DG}")(lambda s, sf: (lambda x: g.edge_strict(x, x.edges.select("src", "dst")))(DG(s, sf)))
+query("map_hash_custom", "SELECT CAST(sum(key * 31 + floor(value)) AS BIGINT) AS hash FROM {A}")(lambda s, sf: maps.hash_(A(s, sf), lambda k, v: k * 31 + F.floor(v), F.sum))
+query("set_hash_custom", "SELECT CAST(sum(value * value) AS BIGINT) AS hash FROM {SA}")(lambda s, sf: sets.hash_(key_set(A(s, sf)), lambda v: v * v, F.sum))
+query("list_hash_custom", "SELECT CAST(sum((idx + 1) * length(value)) AS BIGINT) AS hash FROM {LE}")(lambda s, sf: seq.hash_(LE(s, sf), lambda i, v: (i + 1) * F.length(v), F.sum))
+query("set_to_text", "SELECT '{{' || string_agg(n_name, ', ' ORDER BY n_name) || '}}' AS text FROM nation")(lambda s, sf: sets.to_text(sets.of(t(s, sf, "nation"), "n_name")))
+query("map_to_text_custom", "SELECT '{{' || string_agg('#' || n_nationkey || ' ' || lower(n_name), ', ' ORDER BY n_nationkey) || '}}' AS text FROM nation")(
+    lambda s, sf: maps.to_text(t(s, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value")), lambda k: F.concat(F.lit("#"), k.cast("string")), F.lower)
+)
+query("map_int_keys", "SELECT p_partkey AS key, min(p_name) AS value FROM part GROUP BY 1")(lambda s, sf: maps.int_keys(t(s, sf, "part").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("value")).groupBy("key").agg(F.min("value").alias("value"))))
+query("map_merge_across", "SELECT lower(c_mktsegment) AS key, CAST(max(c_custkey) + min(c_custkey) AS BIGINT) AS value FROM customer GROUP BY 1")(
+    lambda s, sf: (
+        lambda c: maps.merge_across(
+            c.groupBy(F.lower("c_mktsegment").alias("key")).agg(F.max("c_custkey").alias("value")), c.groupBy(F.col("c_mktsegment").alias("key")).agg(F.min("c_custkey").alias("value")), lambda x, y: x + y, F.lower, maps.same
+        )
+    )(t(s, sf, "customer"))
+)
+query("map_entry_equality", "SELECT key, key % 3 <> 1 AS same FROM {A}")(
+    lambda s, sf: A(s, sf).select("key", maps.entry_equals(F.struct("key", "value"), F.struct("key", F.when(F.col("key") % 3 == 1, F.lit(None).cast("double")).otherwise(F.col("value")).alias("value"))).alias("same"))
+)
+query("list_collected", "SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey) - 1 AS idx, o_orderkey AS value FROM orders")(
+    lambda s, sf: seq.collected([t(s, sf, "orders").where(F.col("o_orderpriority") == p) for p in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")], "o_orderkey", value="o_orderkey")
+)
+query("set_collected", "SELECT DISTINCT o_custkey AS value FROM orders")(lambda s, sf: sets.collected([t(s, sf, "orders").where(F.pmod("o_orderkey", F.lit(3)) == k) for k in range(3)], "o_custkey"))
+query("list_literal_span", "SELECT 0 AS idx, 5::BIGINT AS value UNION ALL SELECT 1 + range, range + 10 FROM range(20)")(lambda s, _: seq.concat(seq.of(s, 5, kind="bigint"), seq.span(s, 10, 30)))
+
+
+# Virtual sets: positions, floors and slices in closed form.
+def squares():
+    root = lambda v: F.floor(F.sqrt(F.greatest(v, F.lit(0)).cast("double"))).cast("long")
+    return virtual.VirtualSortedSet(1000, lambda i: i * i, lambda v: F.when((v >= 0) & (root(v) * root(v) == v), root(v)), lambda v: F.when(v >= 0, root(v)).otherwise(-1))
+
+
+def values_of(s, sf):
+    return probes(s, sf).withColumnRenamed("key", "value")
+
+
+query("virtual_set_index_of", "SELECT c_custkey AS value, CASE WHEN CAST(floor(sqrt(c_custkey)) AS BIGINT) ** 2 = c_custkey THEN CAST(floor(sqrt(c_custkey)) AS BIGINT) END AS idx FROM customer")(lambda s, sf: squares().indices(values_of(s, sf)))
+query("virtual_sorted_floor", "SELECT c_custkey AS value, r AS idx, r * r AS floor FROM (SELECT c_custkey, least(999, CAST(floor(sqrt(c_custkey)) AS BIGINT)) AS r FROM customer)")(lambda s, sf: squares().floors(values_of(s, sf)))
+query("virtual_sorted_ceil", "SELECT c_custkey AS value, CASE WHEN r < 1000 THEN r END AS idx, CASE WHEN r < 1000 THEN r * r END AS ceil FROM (SELECT c_custkey, CAST(ceil(sqrt(c_custkey)) AS BIGINT) AS r FROM customer)")(lambda s, sf: squares().ceils(values_of(s, sf)))
+query("virtual_set_materialised", "SELECT range * range AS value FROM range(1000) UNION SELECT -1")(lambda s, _: sets.add(squares().rows(s), -1))
+query("virtual_sorted_slice", "SELECT range * range AS value FROM range(1000) WHERE range * range >= 50 AND range * range < 7000")(lambda s, _: squares().slice(s, 50, 7000))
+
+# Bit vectors and sorted sets inside rows.
+for _name, _f, _s in (
+    ("overwrite", lambda a: bits.vector_overwrite(a, 2, F.array(F.lit(7).cast("long"), F.lit(8).cast("long"))), "[p_partkey, p_partkey + 1, 7, 8, p_partkey + 4]"),
+    ("copy", lambda a: bits.vector_copy(a, 0, bits.vector_create(4), 1, 3), "[0, p_partkey, p_partkey + 1, p_partkey + 2]"),
+    ("interpose", lambda a: bits.vector_interpose(a, 1, F.array(F.lit(9).cast("long"))), "[p_partkey, 9, p_partkey + 1, p_partkey + 2, p_partkey + 3, p_partkey + 4]"),
+    ("bitset_add", lambda a: bits.add_sorted(a, F.lit(5).cast("long")), "list_sort(list_distinct([p_partkey, p_partkey + 1, p_partkey + 2, p_partkey + 3, p_partkey + 4, 5]))"),
+    ("bitset_remove", lambda a: bits.remove_sorted(a, F.lit(5).cast("long")), "list_filter([p_partkey, p_partkey + 1, p_partkey + 2, p_partkey + 3, p_partkey + 4], lambda x: x <> 5)"),
+):
+    query(f"vector_{_name}", f"SELECT p_partkey, array_to_string({_s}, ',') AS value FROM part")(
+        lambda s, sf, f=_f: t(s, sf, "part").select("p_partkey", F.array_join(f(F.sequence(F.col("p_partkey"), F.col("p_partkey") + 4)), ",").alias("value"))
+    )
+
+# Cycles closed by one link; the path itself.
+PAIRS = "(SELECT dst AS src, src AS dst FROM {DAGF} UNION SELECT id, id + 1 FROM {DV})"
+query("dag_closing", "WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {DAGF}), q AS MATERIALIZED (SELECT * FROM " + PAIRS + "), p(origin, id) AS (SELECT dst, dst FROM q UNION SELECT p.origin, e.dst FROM p JOIN e ON e.src = p.id) SELECT q.src, q.dst, EXISTS (FROM p WHERE p.origin = q.dst AND p.id = q.src) AS closes FROM q")(
+    lambda s, sf: (lambda x, all_: traverse.closing(x, x.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).unionByName(all_.vertices.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))))(DAGF(s, sf), DG(s, sf))
+)
+query("graph_shortest_path", f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {{DAGF}}), p(id, cost, path) AS (SELECT {FIRST}, 0, [{FIRST}] UNION ALL SELECT e.dst, p.cost + e.value + e.dst % 4, list_append(path, e.dst) FROM p JOIN e ON e.src = p.id) SELECT CAST(cost AS BIGINT) AS cost, array_to_string(path, '>') AS path FROM p WHERE len(path) > 1 AND id % 2 = 1 ORDER BY cost, path LIMIT 1")(
+    lambda s, sf: (lambda x: traverse.shortest_path(x, start(x), F.col("id") % 2 == 1, F.col("value") + F.col("dst") % 4).select(F.col("cost").cast("long").alias("cost"), F.array_join("path", ">").alias("path")))(DAGF(s, sf))
+)

@@ -11,7 +11,8 @@ def lowest_bit(n: Column) -> Column:
 
 
 def log2_floor(n: Column) -> Column:
-    """For n > 0; exact."""
+    """For n > 0; exact. Other n raise."""
+    n = F.when(n <= 0, F.raise_error(F.lit("no logarithm of a number below 1"))).otherwise(n)
     return F.length(F.bin(n)) - 1
 
 
@@ -20,7 +21,8 @@ def log2_ceil(n: Column) -> Column:
 
 
 def highest_bit(n: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), log2_floor(n))
+    """0 for 0."""
+    return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), log2_floor(n)))
 
 
 def is_power_of_two(n: Column) -> Column:
@@ -45,7 +47,11 @@ def mask_above(b: int) -> int:
 
 
 def slice_(n: Column, start: int, end: int) -> Column:
-    return F.shiftrightunsigned(n, start).bitwiseAND(F.lit((1 << (end - start)) - 1))
+    """Bits [start, end) as a number."""
+    if not 0 <= start < end <= 64:
+        raise ValueError("0 <= start < end <= 64")
+    shifted = F.shiftrightunsigned(n, start)
+    return shifted if end - start == 64 else shifted.bitwiseAND(F.lit((1 << (end - start)) - 1).cast("long"))
 
 
 def branching_bit(a: Column, b: Column) -> Column:
@@ -54,7 +60,9 @@ def branching_bit(a: Column, b: Column) -> Column:
 
 
 def interleave(values: list[Column], bits: int) -> Column:
-    """Morton key: bit b of value i at place b * len(values) + i."""
+    """Morton key: bit b of value i at place b * len(values) + i. Keys of over 63 bits are refused."""
+    if bits * len(values) > 63:
+        raise ValueError("a key has at most 63 bits")
     out = F.lit(0).cast("long")
     for b in range(bits):
         for i, v in enumerate(values):
@@ -92,3 +100,34 @@ def vector_remove(a: Column, i: int) -> Column:
 
 def vector_set(a: Column, i: int, v: Column) -> Column:
     return F.transform(a, lambda x, k: F.when(k == i, v).otherwise(x))
+
+
+def remove_sorted(sorted_: Column, v: Column) -> Column:
+    return F.array_remove(sorted_, v)
+
+
+def get_sorted(sorted_: Column, i: int) -> Column:
+    """The element at i; out of range: null."""
+    return F.get(sorted_, F.lit(i))
+
+
+def vector_create(n: int) -> Column:
+    """n zeros."""
+    return F.array_repeat(F.lit(0).cast("long"), n)
+
+
+def vector_overwrite(a: Column, i: int, values: Column) -> Column:
+    """The elements from i on replaced by ``values``; raises where they don't fit."""
+    fits = F.size(values) + i <= F.size(a)
+    new = F.transform(a, lambda x, k: F.when((k >= i) & (k < F.size(values) + i), F.get(values, k - i)).otherwise(x))
+    return F.when(~fits, F.raise_error(F.lit("the values don't fit"))).otherwise(new)
+
+
+def vector_copy(source: Column, start: int, target: Column, at: int, n: int) -> Column:
+    """``target`` with n elements of ``source`` from ``start`` on written over those from ``at`` on."""
+    return vector_overwrite(target, at, F.slice(source, start + 1, n))
+
+
+def vector_interpose(a: Column, i: int, values: Column) -> Column:
+    """``values`` put in before element i."""
+    return F.concat(F.slice(a, 1, i), values, F.slice(a, F.lit(i + 1), F.size(a)))

@@ -43,6 +43,13 @@ def edge(g: Graph, pairs: DataFrame, default: Column) -> DataFrame:
     return got.select("src", "dst", F.when(F.col("_e").isNotNull(), F.col("_e.value")).otherwise(default).alias("value"))
 
 
+def edge_strict(g: Graph, pairs: DataFrame) -> DataFrame:
+    """As ``edge``; a pair without an edge raises when the row is read."""
+    side = g.both_ways().select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.struct("value").alias("_e"))
+    got = pairs.join(side, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left")
+    return got.select("src", "dst", F.when(F.col("_e").isNull(), F.raise_error(F.lit("no such edge"))).otherwise(F.col("_e.value")).alias("value"))
+
+
 def out(g: Graph) -> DataFrame:
     """(id, neighbours: sorted array); isolated vertices have an empty one. A row holds one vertex's neighbours."""
     lists = g.both_ways().groupBy(F.col("src").alias("_i")).agg(F.array_sort(F.collect_set("dst")).alias("_n"))

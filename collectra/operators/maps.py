@@ -89,6 +89,18 @@ def get(a: DataFrame, probes: DataFrame, default: Column) -> DataFrame:
     return got.select("key", F.when(F.col("_in"), F.col("_v")).otherwise(default).alias("value"), F.coalesce("_in", F.lit(False)).alias("found"))
 
 
+def get_strict(a: DataFrame, probes: DataFrame) -> DataFrame:
+    """As ``get``; a key that is absent raises when the row is read."""
+    got = get(a, probes, F.lit(None))
+    missing = F.raise_error(F.concat(F.lit("no such key: "), F.coalesce(F.col("key").cast("string"), F.lit("null"))))
+    return got.select("key", F.when(~F.col("found"), missing).otherwise(F.col("value")).alias("value"))
+
+
+def entry_equals(x: Column, y: Column) -> Column:
+    """Entries (structs of key and value) are equal if both their parts are; nulls equal each other."""
+    return x["key"].eqNullSafe(y["key"]) & x["value"].eqNullSafe(y["value"])
+
+
 def get_or_create(a: DataFrame, probes: DataFrame, make: Callable[[Column], Column]) -> DataFrame:
     """As ``get``, but a null value counts as missing too."""
     return get(a, probes, F.lit(None)).select("key", F.coalesce("value", make(F.col("key"))).alias("value"))
@@ -128,8 +140,29 @@ def equals(a: DataFrame, b: DataFrame, alike: Merge | None = None) -> DataFrame:
     return both.agg((F.coalesce(F.sum(F.when(good, 0).otherwise(1)), F.lit(0)) == 0).alias("equal"))
 
 
-def hash_(a: DataFrame) -> DataFrame:
-    return a.agg(F.expr("coalesce(bit_xor(xxhash64(key, value)), 0)").alias("hash"))
+def hash_(a: DataFrame, of: Callable[[Column, Column], Column] = F.xxhash64, combine: Callable[[Column], Column] = F.bit_xor) -> DataFrame:
+    """One row (hash), whatever the order; ``of`` (key, value) and the aggregate ``combine`` may be one's own."""
+    return a.agg(F.coalesce(combine(of(F.col("key"), F.col("value"))), F.lit(0)).alias("hash"))
+
+
+def same_semantics(a: DataFrame, b: DataFrame, canon_a: Callable[[Column], Column] = same, canon_b: Callable[[Column], Column] = same) -> bool:
+    """Whether keys of both maps can be matched as they are: one type, one equality."""
+    return canon_a is canon_b and a.schema["key"].dataType == b.schema["key"].dataType
+
+
+def merge_across(a: DataFrame, b: DataFrame, f: Merge, canon_a: Callable[[Column], Column], canon_b: Callable[[Column], Column]) -> DataFrame:
+    """``merge`` of maps whose equalities may differ: where they do, the right one is first reduced to one entry for each
+    key that the left's equality tells apart (the least key's), then merged under the left's."""
+    if not same_semantics(a, b, canon_a, canon_b):
+        b = b.groupBy(canon_a(F.col("key")).alias("_c")).agg(F.min_by(F.struct("key", "value"), "key").alias("_e")).select("_e.key", "_e.value")
+    return merge(a, b, f, canon_a)
+
+
+def int_keys(a: DataFrame) -> DataFrame:
+    """Keys as 64-bit integers; a key that is none raises. Null keys stay."""
+    key = F.col("key").cast("long")
+    bad = F.col("key").isNotNull() & (key.isNull() | (key.cast("double") != F.col("key").cast("double")))
+    return a.withColumn("key", F.when(bad, F.raise_error(F.lit("the key is no integer")).cast("long")).otherwise(key))
 
 
 def float_keys(a: DataFrame) -> DataFrame:
@@ -138,10 +171,14 @@ def float_keys(a: DataFrame) -> DataFrame:
     return a.withColumn("key", F.when(F.isnan(key), F.raise_error(F.lit("NaN is no key")).cast("double")).when(key == 0, F.lit(0.0)).otherwise(key))
 
 
-def to_text(a: DataFrame) -> DataFrame:
-    """One row (text): {k v, k v}, by key."""
+def printed(c: Column) -> Column:
+    return F.coalesce(c.cast("string"), F.lit("null"))
+
+
+def to_text(a: DataFrame, key: Callable[[Column], Column] = printed, value: Callable[[Column], Column] = printed) -> DataFrame:
+    """One row (text): {k v, k v}, by key; ``key`` and ``value`` print them."""
     items = F.array_sort(F.collect_list(F.struct("key", "value")))
-    shown = F.transform(items, lambda x: F.concat_ws(" ", F.coalesce(x["key"].cast("string"), F.lit("null")), F.coalesce(x["value"].cast("string"), F.lit("null"))))
+    shown = F.transform(items, lambda x: F.concat_ws(" ", key(x["key"]), value(x["value"])))
     return a.agg(F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}")).alias("text"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut
 from .positions import positions
 
 
@@ -160,17 +161,17 @@ def position_of(seq: DataFrame, value: object) -> DataFrame:
     return hit.agg(F.coalesce(F.min("idx"), F.lit(-1)).alias("first"), F.coalesce(F.max("idx"), F.lit(-1)).alias("last"))
 
 
-def equals(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row (equal): elementwise, null equals null."""
+def equals(a: DataFrame, b: DataFrame, alike: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """One row (equal): elementwise, by ``alike`` or else equality with null equal to null."""
     x, y = a.select(F.col("idx").alias("_i"), F.col("value").alias("_v")), b
     both = x.join(y, x["_i"] == y["idx"], "full_outer")
-    same = F.col("_i").isNotNull() & F.col("idx").isNotNull() & F.col("_v").eqNullSafe(F.col("value"))
+    same = F.col("_i").isNotNull() & F.col("idx").isNotNull() & (alike(F.col("_v"), F.col("value")) if alike else F.col("_v").eqNullSafe(F.col("value")))
     return both.agg((F.coalesce(F.sum(F.when(same, 0).otherwise(1)), F.lit(0)) == 0).alias("equal"))
 
 
-def hash_(seq: DataFrame) -> DataFrame:
-    """One row (hash): depends on values and their order."""
-    return seq.agg(F.expr("coalesce(bit_xor(xxhash64(idx, value)), 0)").alias("hash"))
+def hash_(seq: DataFrame, of: Callable[[Column, Column], Column] = F.xxhash64, combine: Callable[[Column], Column] = F.bit_xor) -> DataFrame:
+    """One row (hash): depends on values and their order; ``of`` (idx, value) and the aggregate ``combine`` may be one's own."""
+    return seq.agg(F.coalesce(combine(of(idx(), F.col("value"))), F.lit(0)).alias("hash"))
 
 
 def to_text(seq: DataFrame) -> DataFrame:
@@ -180,5 +181,39 @@ def to_text(seq: DataFrame) -> DataFrame:
     return seq.agg(F.concat(F.lit("["), F.array_join(shown, ", "), F.lit("]")).alias("text"))
 
 
+def of(spark: SparkSession, *values: object, kind: str) -> DataFrame:
+    """The sequence of the given values (of SQL type ``kind``); none give an empty one."""
+    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"idx long, value {kind}")
+
+
+def span(spark: SparkSession, low: int, high: int) -> DataFrame:
+    """The numbers of [low, high)."""
+    return spark.range(low, max(low, high)).select((F.col("id") - low).alias("idx"), F.col("id").alias("value"))
+
+
+def collected(parts: list[DataFrame], *order: str, value: str) -> DataFrame:
+    """A collector: pieces are accumulated apart (each in its ``order``) and combined in the order given."""
+    return concat(*[from_order(p, value, *order) for p in parts])
+
+
+def on_exhaustion(seq: DataFrame, then: Callable[[DataFrame], None]) -> DataFrame:
+    """The sequence, written; ``then`` is called once after its last element was produced."""
+    done = cut(seq)
+    then(done)
+    return done
+
+
+def memoized(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``f`` computed once for the same arguments; what it gives is written and read from there."""
+    known: dict = {}
+
+    def run(*args):
+        if args not in known:
+            known[args] = cut(f(*args))
+        return known[args]
+
+    return run
+
+
 def clear(seq: DataFrame) -> DataFrame:
     return seq.limit(0)

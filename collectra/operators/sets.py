@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .maps import printed
+from .positions import positions
+
 
 def of(df: DataFrame, value: Column | str, canon: Callable[[Column], Column] | None = None) -> DataFrame:
     """Distinct values; with ``canon``, one (the least) of those that are alike under it."""
@@ -70,5 +73,31 @@ def zip_(a: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
     return a.select(F.col("value").alias("key"), f(F.col("value")).alias("value"))
 
 
-def hash_(a: DataFrame) -> DataFrame:
-    return a.agg(F.expr("coalesce(bit_xor(xxhash64(value)), 0)").alias("hash"))
+def hash_(a: DataFrame, of: Callable[[Column], Column] = F.xxhash64, combine: Callable[[Column], Column] = F.bit_xor) -> DataFrame:
+    return a.agg(F.coalesce(combine(of(F.col("value"))), F.lit(0)).alias("hash"))
+
+
+def collected(parts: list[DataFrame], value: str) -> DataFrame:
+    """A collector: pieces are reduced to sets apart and combined by union."""
+    out = of(parts[0], value)
+    for p in parts[1:]:
+        out = union(out, of(p, value))
+    return out
+
+
+def split(a: DataFrame, parts: int) -> DataFrame:
+    """Adds ``part``, by hash of the value."""
+    return a.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(parts)).cast("int"))
+
+
+def split_range(a: DataFrame, parts: int) -> DataFrame:
+    """Adds ``part``: ranges of values in ascending order, nulls first, of sizes that differ by one at most."""
+    ranked = positions(a, "value")
+    n = F.lit(max(1, ranked.count()))
+    return ranked.withColumn("part", F.floor(F.col("idx") * parts / n).cast("int")).drop("idx")
+
+
+def to_text(a: DataFrame, value: Callable[[Column], Column] = printed) -> DataFrame:
+    """One row (text): {a, b}, in ascending order; ``value`` prints them."""
+    shown = F.transform(F.array_sort(F.collect_set("value")), value)
+    return a.agg(F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit("}")).alias("text"))

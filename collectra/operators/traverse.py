@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,21 +18,32 @@ class CycleError(ValueError):
     """The graph has a cycle."""
 
 
-def bfs_levels(starts: DataFrame, adjacent: Callable[[DataFrame], DataFrame] | DataFrame, max_rounds: int = 1000) -> DataFrame:
+def gathered(tables: list[DataFrame]) -> DataFrame:
+    """The union of written tables; every sixteenth time they are written as one, so plans stay small."""
+    if len(tables) >= 16:
+        tables[:] = [cut(reduce(DataFrame.unionByName, tables))]
+    return reduce(DataFrame.unionByName, tables)
+
+
+def bfs_levels(starts: DataFrame, adjacent: Callable[[DataFrame], DataFrame] | DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(id, level) of what is reachable from ``starts`` (id), by rounds of the frontier.
 
-    ``adjacent`` is an edge table, or a function of the frontier (id) that returns its edges (src, dst).
+    ``adjacent`` is an edge table, written once, or a function of the frontier (id) that returns its edges (src, dst).
+    A round writes its frontier only. It ends as every round finds new vertices or stops; for a function over
+    endlessly many ``max_rounds`` may be set, beyond which it raises.
     """
-    seen = cut(starts.select("id").distinct().withColumn("level", F.lit(0)))
-    frontier = seen
-    for level in range(1, max_rounds + 1):
-        edges = adjacent(frontier.select("id")) if callable(adjacent) else adjacent
-        step = frontier.join(edges.select(F.col("src").alias("id"), "dst"), "id").select(F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(seen, "id", "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
-    raise RuntimeError(f"not done in {max_rounds} rounds")
+    edges = None if callable(adjacent) else cut(adjacent.select(F.col("src").alias("id"), "dst"))
+    found = [cut(starts.select("id").distinct().withColumn("level", F.lit(0)))]
+    for level in count(1):
+        if max_rounds is not None and level > max_rounds:
+            raise RuntimeError(f"not done in {max_rounds} rounds")
+        frontier = found[-1] if len(found) == 1 and level == 1 else last
+        own = edges if edges is not None else adjacent(frontier.select("id")).select(F.col("src").alias("id"), "dst")
+        step = frontier.join(own, "id").select(F.col("dst").alias("id")).distinct()
+        last = cut(step.join(gathered(found), "id", "left_anti").withColumn("level", F.lit(level)))
+        if last.isEmpty():
+            return gathered(found)
+        found.append(last)
 
 
 def stars(links: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -66,21 +79,26 @@ def connected_components(g: Graph) -> DataFrame:
     return g.vertices.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def levels(g: Graph, max_rounds: int = 1000) -> DataFrame:
-    """(id, level) by peeling: level 0 has no edge into it, level n + 1 only from levels up to n. A cycle raises."""
+def levels(g: Graph) -> DataFrame:
+    """(id, level) by peeling: level 0 has no edge into it, level n + 1 only from levels up to n. A cycle raises.
+
+    Every round takes a level off or raises, so it ends; it writes that level and the edges that are left.
+    """
     if not g.directed:
         raise ValueError("levels are of directed graphs")
-    left, edges, done = cut(g.vertices), cut(g.edges.select("src", "dst")), None
-    for level in range(max_rounds):
-        if left.isEmpty():
-            return done if done is not None else left.withColumn("level", F.lit(0))
-        free = cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
+    edges, found = cut(g.edges.select("src", "dst")), []
+    free = cut(g.vertices.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("level")))
+    for level in count(1):
         if free.isEmpty():
-            raise CycleError("the graph has a cycle")
-        done = free if done is None else cut(done.unionByName(free))
-        left = cut(left.join(free, "id", "left_anti"))
+            break
+        found.append(free)
+        after = edges.join(free.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         edges = cut(edges.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"))
-    raise RuntimeError(f"not done in {max_rounds} rounds")
+        free = cut(after.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
+        gathered(found)
+    if not edges.isEmpty():
+        raise CycleError("the graph has a cycle")
+    return gathered(found) if found else g.vertices.withColumn("level", F.lit(0))
 
 
 def is_acyclic(g: Graph) -> bool:
@@ -102,6 +120,20 @@ def dag_link(g: Graph, edges: DataFrame, merge: Callable[[Column, Column], Colum
     return dag(link(g, edges, merge))
 
 
+def closing(g: Graph, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (src, dst) with ``closes``: whether linking them would close a cycle, as dst reaches src (or is it)."""
+    wanted = cut(pairs.select("src", "dst").distinct())
+    edges = cut(g.both_ways().select("src", "dst"))
+    seen = [cut(wanted.select(F.col("dst").alias("origin"), F.col("dst").alias("id")).distinct())]
+    frontier = seen[0]
+    while not frontier.isEmpty():
+        step = frontier.join(edges, frontier["id"] == edges["src"]).select("origin", F.col("dst").alias("id")).distinct()
+        frontier = cut(step.join(gathered(seen), ["origin", "id"], "left_anti"))
+        seen.append(frontier)
+    hit = gathered(seen).select(F.col("origin").alias("dst"), F.col("id").alias("src"), F.lit(True).alias("_hit"))
+    return wanted.join(hit, ["src", "dst"], "left").select("src", "dst", F.coalesce("_hit", F.lit(False)).alias("closes"))
+
+
 def split(g: Graph) -> tuple[DataFrame, DataFrame]:
     """Vertices (id, component) and edges (component, src, dst, value): pieces that share nothing. Directed graphs are refused."""
     ids = cut(connected_components(g))
@@ -109,59 +141,53 @@ def split(g: Graph) -> tuple[DataFrame, DataFrame]:
     return ids, g.edges.join(own, F.col("src") == F.col("_i")).select("component", "src", "dst", "value")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(id, colour): what each colour's seed (id, colour) reaches over edges inside one ``_g``."""
-    seen = frontier = cut(seeds)
-    for _ in range(max_rounds):
+    found = [cut(seeds)]
+    frontier = found[0]
+    while not frontier.isEmpty():
         step = frontier.join(edges, frontier["id"] == edges["src"]).where("colour = _g").select(F.col("dst").alias("id"), "colour").distinct()
-        frontier = cut(step.join(seen, ["id", "colour"], "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = cut(seen.unionByName(frontier))
-    raise RuntimeError("reach is not done")
+        frontier = cut(step.join(gathered(found), ["id", "colour"], "left_anti"))
+        found.append(frontier)
+    return gathered(found)
 
 
-def strongly_connected(g: Graph, singletons: bool = True, small: int = 200_000, max_rounds: int = 1000) -> DataFrame:
+def strongly_connected(g: Graph, singletons: bool = True, small: int = 200_000) -> DataFrame:
     """(id, component): the least vertex of each strongly connected component.
 
     Vertices without edges in or out of their part are peeled off as components of their own. A
     remainder of at most ``small`` edges (counted) is solved in one task; a larger one by colouring:
     every vertex takes the greatest vertex that reaches it, and what reaches back to that one inside
-    the colour is its component. Undirected graphs are refused.
+    the colour is its component. Each loop runs until nothing changes, however long the paths are (a round an
+    edge of the longest). Undirected graphs are refused.
     """
     if not g.directed:
         raise ValueError("strong components are of directed graphs")
     edges = cut(g.edges.where("src <> dst").select("src", "dst"))
     found: list[DataFrame] = []
-    for _ in range(max_rounds):
-        n = edges.count()
-        if n <= small:
-            found.append(edges.groupBy(F.lit(0).alias("_one")).applyInPandas(tarjan_group(edges), edges_schema(edges)) if n else edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0))
-            break
+    n = edges.count()
+    while n > small:
         trimmed = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if trimmed.count() < n:
+        before, n = n, trimmed.count()
+        if n < before:
             edges = trimmed
             continue
-        colour = cut(edges.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")))
-        for _ in range(max_rounds):
+        colour, moved = cut(edges.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id"))), True
+        while moved:
             pushed = edges.join(colour, edges["src"] == colour["id"]).groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("p"))
             after = cut(colour.join(pushed, "id", "left").select("id", F.greatest("colour", "p").alias("colour"), (F.col("p") > F.col("colour")).alias("moved")))
-            colour = after.select("id", "colour")
-            if after.where("moved").isEmpty():
-                break
+            colour, moved = after.select("id", "colour"), not after.where("moved").isEmpty()
         a, b = colour.select(F.col("id").alias("src"), F.col("colour").alias("_g")), colour.select(F.col("id").alias("dst"), F.col("colour").alias("_h"))
         inside = cut(edges.join(a, "src").join(b, "dst").where("_g = _h").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "_g"))
-        part = reach(inside, colour.where("id = colour"), max_rounds)
+        part = reach(inside, colour.where("id = colour"))
         ids = part.groupBy("colour").agg(F.min("id").alias("component"))
         found.append(cut(part.join(ids, "colour").select("id", "component")))
         gone = found[-1].select("id")
         edges = cut(edges.join(gone.select(F.col("id").alias("src")), "src", "left_anti").join(gone.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    else:
-        raise RuntimeError(f"not done in {max_rounds} rounds")
-    named = found[0]
-    for f in found[1:]:
-        named = named.unionByName(f)
-    named = named.select(F.col("id").alias("_i"), F.col("component").alias("_c"))
+        n = edges.count()
+    none = edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    found.append(edges.groupBy(F.lit(0).alias("_one")).applyInPandas(tarjan_group(edges), edges_schema(edges)) if n else none)
+    named = reduce(DataFrame.unionByName, found).select(F.col("id").alias("_i"), F.col("component").alias("_c"))
     out = g.vertices.join(named, F.col("id") == F.col("_i"), "left").select("id", F.coalesce("_c", "id").alias("component"))
     if singletons:
         return out
@@ -221,35 +247,30 @@ def strongly_connected_edges(g: Graph, singletons: bool = True) -> DataFrame:
     return g.edges.join(a, "src").join(b, "dst").where("component = _d").select("component", "src", "dst", "value")
 
 
-def cycles(g: Graph, max_length: int = 64, max_paths: int = 1_000_000) -> DataFrame:
+def cycles(g: Graph, max_paths: int | None = None) -> DataFrame:
     """(path: array): every elementary cycle once, from its least vertex back to it; a self-loop is [v, v].
 
-    Paths grow only inside strong components and only over vertices greater than their start. There may be
-    exponentially many: beyond ``max_paths`` open paths or ``max_length`` edges it raises.
+    Paths grow only inside strong components and only over vertices greater than their start, so they end. There may
+    be exponentially many; with ``max_paths``, over so many open paths raise.
     """
     inside = cut(strongly_connected_edges(g, False).select("src", "dst").where("src <> dst"))
     found = [g.edges.where("src = dst").select(F.array("src", "dst").alias("path"))]
     paths = cut(inside.where("dst > src").select(F.col("src").alias("first"), F.col("dst").alias("last"), F.array("src", "dst").alias("path")))
-    for _ in range(max_length):
-        n = paths.count()
-        if not n:
-            out = found[0]
-            for f in found[1:]:
-                out = out.unionByName(f)
-            return out
-        if n > max_paths:
+    while n := paths.count():
+        if max_paths is not None and n > max_paths:
             raise RuntimeError(f"over {max_paths} open paths")
         grown = cut(paths.join(inside, paths["last"] == inside["src"]).where("dst >= first").select("first", "dst", "path"))
         found.append(grown.where("dst = first").select(F.concat("path", F.array("dst")).alias("path")))
         paths = cut(grown.where("dst > first and not array_contains(path, dst)").select("first", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path")))
-    raise RuntimeError(f"a path has over {max_length} edges")
+    return reduce(DataFrame.unionByName, found)
 
 
-def shortest_path(g: Graph, starts: DataFrame, accept: Column, cost: Column, max_rounds: int = 1000) -> DataFrame:
+def shortest_path(g: Graph, starts: DataFrame, accept: Column, cost: Column) -> DataFrame:
     """(cost, path) of the cheapest path of one edge or more from a start (id) to a vertex that ``accept`` (over id) takes.
 
     ``cost`` is over src, dst, value; below zero it raises. Ties go to the least path. No path: no row.
-    Unknown starts are ignored. Each round relaxes the frontier and keeps the least (dist, path) a vertex.
+    Unknown starts are ignored. Each round relaxes the frontier and keeps the least (dist, path) a vertex, so it ends:
+    a round in which nothing gets better is the last.
     """
     priced = g.both_ways().select("src", "dst", cost.cast("double").alias("_w"))
     weight = F.when(F.col("_w") < 0, F.raise_error(F.lit("a cost is below zero")).cast("double")).otherwise(F.col("_w"))
@@ -257,7 +278,7 @@ def shortest_path(g: Graph, starts: DataFrame, accept: Column, cost: Column, max
     known = starts.join(g.vertices, "id", "left_semi").distinct()
     frontier = cut(known.select("id", F.lit(0.0).alias("dist"), F.array("id").alias("path")))
     best = None
-    for _ in range(max_rounds):
+    while True:
         step = frontier.join(edges, frontier["id"] == edges["src"]).where(~F.array_contains(F.expr("slice(path, 2, size(path))"), F.col("dst")))
         step = step.select(F.col("dst").alias("id"), (F.col("dist") + F.col("_w")).alias("dist"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("id").agg(F.min(F.struct("dist", "path")).alias("new"))
@@ -271,7 +292,6 @@ def shortest_path(g: Graph, starts: DataFrame, accept: Column, cost: Column, max
             best = cut(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier))
         if frontier.isEmpty():
             return best.where(accept).agg(F.min(F.struct("dist", "path")).alias("b")).where("b is not null").select(F.col("b.dist").alias("cost"), F.col("b.path").alias("path"))
-    raise RuntimeError(f"not done in {max_rounds} rounds")
 
 
 def blocks(g: Graph) -> DataFrame:

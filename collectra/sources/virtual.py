@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,59 @@ def map_(keys: DataFrame, f: Callable[[Column], Column]) -> DataFrame:
     return keys.select(F.col("value").alias("key"), f(F.col("value")).alias("value"))
 
 
+@dataclass(frozen=True)
+class VirtualSet:
+    """A set that is a function of the index; ``nth`` must be one to one and ``index_of`` its inverse (null: no element)."""
+
+    size: int
+    nth: Callable[[Column], Column]
+    index_of: Callable[[Column], Column]
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """(value): from here on an ordinary set, so an edit or a write materialises it."""
+        return set_(spark, self.size, self.nth)
+
+    def positions(self, spark: SparkSession) -> DataFrame:
+        """(value, idx), without a sort."""
+        return spark.range(self.size).select(self.nth(F.col("id")).alias("value"), F.col("id").alias("idx"))
+
+    def contains(self, probes: DataFrame) -> DataFrame:
+        return contains(probes, self.size, self.index_of)
+
+    def indices(self, probes: DataFrame) -> DataFrame:
+        """``probes`` (value) with ``idx``, null where absent."""
+        i = self.index_of(F.col("value"))
+        return probes.select("value", F.when((i >= 0) & (i < self.size), i.cast("long")).alias("idx"))
+
+    def map(self, spark: SparkSession, f: Callable[[Column], Column]) -> DataFrame:
+        return map_(self.rows(spark), f)
+
+
+@dataclass(frozen=True)
+class VirtualSortedSet(VirtualSet):
+    """As ``VirtualSet`` with ``nth`` ascending; ``floor_of`` gives the index of the greatest element up to a value (it may lie outside)."""
+
+    floor_of: Callable[[Column], Column]
+
+    def floors(self, probes: DataFrame) -> DataFrame:
+        """``probes`` (value) with ``idx`` and ``floor``, null where all elements are greater; no join."""
+        i = F.least(self.floor_of(F.col("value")).cast("long"), F.lit(self.size - 1))
+        i = F.when(i >= 0, i)
+        return probes.select("value", i.alias("idx"), F.when(i.isNotNull(), self.nth(i)).alias("floor"))
+
+    def ceils(self, probes: DataFrame) -> DataFrame:
+        """``probes`` (value) with ``idx`` and ``ceil``, null where all elements are less."""
+        below = F.greatest(self.floor_of(F.col("value")).cast("long"), F.lit(-1))
+        hit = (below >= 0) & (self.nth(below) == F.col("value"))
+        i = F.when(hit, below).otherwise(below + 1)
+        i = F.when(i < self.size, i)
+        return probes.select("value", i.alias("idx"), F.when(i.isNotNull(), self.nth(i)).alias("ceil"))
+
+    def slice(self, spark: SparkSession, low: object, high: object) -> DataFrame:
+        """(value) in [low, high): a filter."""
+        return self.rows(spark).where((F.col("value") >= low) & (F.col("value") < high))
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
