@@ -90,3 +90,35 @@ def test_cycle_longer_than_any_round_count(spark):
     assert {r.id: r.level for r in traverse.bfs_levels(spark.range(1), chain.edges).collect()} == {i: i for i in range(21)}
     closing = {(r.src, r.dst): r.closes for r in traverse.closing(chain, spark.createDataFrame([(20, 0), (0, 20), (5, 5), (99, 3)], "src long, dst long")).collect()}
     assert closing == {(20, 0): True, (0, 20): False, (5, 5): True, (99, 3): False}
+
+
+def test_blocks_against_a_naive_cut(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs, base = [], 0
+    for _ in range(12):  # small graphs beside each other
+        n = rng.randint(2, 9)
+        pairs += [(base + a, base + b) for a, b in {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(1, 12))}]
+        base += 10
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def parts(without):
+        left, n = set(near) - {without}, 0
+        while left:
+            n, todo = n + 1, [left.pop()]
+            while todo:
+                more = near[todo.pop()] & left
+                left -= more
+                todo += more
+        return n
+
+    x = Graph.of(spark.createDataFrame([(a, b, 1) for a, b in pairs], "src long, dst long, value int"), directed=False)
+    assert {r.id for r in traverse.articulation_points(x).collect()} == {v for v in near if parts(v) > parts(None)}
+    found = {}
+    for r in traverse.biconnected_components(x).collect():
+        found.setdefault((r.component, r.block), set()).add(r.id)
+    assert all(sum({a, b} <= block for block in found.values()) == 1 for a, b in pairs)  # an edge lies in one block
