@@ -294,57 +294,60 @@ def shortest_path(g: Graph, starts: DataFrame, accept: Column, cost: Column) ->
             return best.where(accept).agg(F.min(F.struct("dist", "path")).alias("b")).where("b is not null").select(F.col("b.dist").alias("cost"), F.col("b.path").alias("path"))
 
 
+def trees(g: Graph) -> list[DataFrame]:
+    """A breadth-first tree of each component of an undirected graph, from its least vertex: (id, component, parent, level), a table a level."""
+    ids = connected_components(g)
+    edges = cut(g.both_ways().where("src <> dst").select("src", "dst"))
+    none = F.lit(None).cast(g.vertices.schema["id"].dataType)
+    found = [cut(ids.where("id = component").select("id", "component", none.alias("parent"), F.lit(0).alias("level")))]
+    seen = list(found)
+    while True:
+        step = found[-1].select(F.col("id").alias("src"), "component").join(edges, "src").groupBy(F.col("dst").alias("id"))
+        step = step.agg(F.min("component").alias("component"), F.min("src").alias("parent"), F.lit(len(found)).alias("level"))
+        last = cut(step.join(gathered(seen), "id", "left_anti"))
+        if last.isEmpty():
+            return found
+        found.append(last)
+        seen.append(last)
+
+
 def blocks(g: Graph) -> DataFrame:
-    """(block: long, id, cut_vertex: boolean): the biconnected blocks' vertices, by depth-first search a component.
+    """(component, block, id, cut_vertex): the biconnected blocks' vertices. A block is named by one of its vertices; an isolated vertex is in none.
 
-    An isolated vertex is in no block. A component is one group, whose edges one task must hold.
+    In a breadth-first tree no other edge joins a vertex with one above it. So the tree edges from both its ends up
+    to where the ways meet are in one block with it, and blocks are what such links connect. Pairs of ends climb
+    together, a round a level of the tree; alike pairs become one, so no round has more rows than there are edges.
     """
-    parts = connected_components(g)
-    edges = g.edges.where("src <> dst").join(parts, F.col("src") == F.col("id")).select("component", "src", "dst")
-    kind = g.vertices.schema["id"].dataType.simpleString()
-    return edges.groupBy("component").applyInPandas(block_group, f"component {kind}, block long, id {kind}, cut_vertex boolean")
-
-
-def block_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    near: dict = {}
-    for s, d in zip(pdf["src"].tolist(), pdf["dst"].tolist(), strict=True):
-        near.setdefault(s, []).append(d)
-        near.setdefault(d, []).append(s)
-    root = min(near)
-    depth, low, done, found, cuts, children = {root: 0}, {root: 0}, [], [], set(), 0
-    work = [(root, None, iter(sorted(near[root])))]
-    while work:
-        v, up, rest = work[-1]
-        for w in rest:
-            if w not in depth:
-                depth[w] = low[w] = depth[v] + 1
-                done.append((v, w))
-                work.append((w, v, iter(sorted(near[w]))))
-                break
-            if w != up and depth[w] < depth[v]:
-                done.append((v, w))
-                low[v] = min(low[v], depth[w])
-        else:
-            work.pop()
-            if up is None:
-                continue
-            low[up] = min(low[up], low[v])
-            if low[v] >= depth[up]:
-                block = set()
-                while True:
-                    a, b = done.pop()
-                    block |= {a, b}
-                    if (a, b) == (up, v):
-                        break
-                found.append(block)
-                if up != root:
-                    cuts.add(up)
-                else:
-                    children += 1
-    if children > 1:
-        cuts.add(root)
-    rows = [(pdf["component"].iloc[0], k, v, v in cuts) for k, block in enumerate(sorted(map(sorted, found))) for v in block]
-    return pd.DataFrame(rows, columns=["component", "block", "id", "cut_vertex"])
+    by_level = trees(g)
+    tree = gathered(list(by_level))
+    a = tree.select(F.col("id").alias("src"), F.col("parent").alias("up_a"), F.col("level").alias("at_a"))
+    b = tree.select(F.col("id").alias("dst"), F.col("parent").alias("up_b"), F.col("level").alias("at_b"))
+    rest = g.edges.where("src <> dst").select("src", "dst").join(a, "src").join(b, "dst").where("not (up_a <=> dst) and not (up_b <=> src)")
+    first = F.when(F.col("at_a") > F.col("at_b"), F.col("up_a")).otherwise(F.col("src"))
+    second = F.when(F.col("at_b") > F.col("at_a"), F.col("up_b")).otherwise(F.col("dst"))
+    lower = F.when(F.col("at_a") > F.col("at_b"), F.col("src")).when(F.col("at_b") > F.col("at_a"), F.col("dst"))
+    rest = cut(rest.select(F.least("at_a", "at_b").alias("level"), first.alias("a"), second.alias("b"), lower.alias("lower"), F.when(F.col("at_a") > F.col("at_b"), first).otherwise(second).alias("upper")))
+    links = [rest.where("lower is not null").select(F.col("lower").alias("a"), F.col("upper").alias("b"))]
+    begun, climbed = {r.level for r in rest.select("level").distinct().collect()}, None
+    for level in range(len(by_level) - 1, 0, -1):
+        if level not in begun and climbed is None:
+            continue
+        pairs = rest.where(F.col("level") == level).select("a", "b")
+        if climbed is not None:
+            pairs = pairs.unionByName(climbed.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
+        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        ups = by_level[level].select("id", "parent")
+        up_a, up_b = ups.select(F.col("id").alias("a"), F.col("parent").alias("pa")), ups.select(F.col("id").alias("b"), F.col("parent").alias("pb"))
+        climbed = cut(pairs.join(up_a, "a").join(up_b, "b").where("pa <> pb").select("a", "pa", "pb"))
+        links += [pairs, climbed.select("a", F.col("pa").alias("b"))]
+        gathered(links)
+        climbed = None if climbed.isEmpty() else climbed
+    named = stars(gathered(links)).select(F.col("node").alias("_i"), F.col("component").alias("_b"))
+    own = tree.where("parent is not null").join(named, F.col("id") == F.col("_i"), "left").withColumn("block", F.coalesce("_b", "id"))
+    members = own.select("component", "block", "id").unionByName(own.select("component", "block", F.col("parent").alias("id")))
+    members = cut(members.distinct())
+    shared = members.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("cut_vertex"))
+    return members.join(shared, "id").select("component", "block", "id", "cut_vertex")
 
 
 def biconnected_components(g: Graph) -> DataFrame:

@@ -101,6 +101,10 @@ def test_blocks_against_a_naive_cut(spark):
         n = rng.randint(2, 9)
         pairs += [(base + a, base + b) for a, b in {tuple(sorted(rng.sample(range(n), 2))) for _ in range(rng.randint(1, 12))}]
         base += 10
+    ladder = [(base + k, base + k + d) for k in range(24) for d in (1, 2)]  # one deep block, with a tail and a chord across
+    pairs += [*ladder, *[(base + 25 + k, base + 26 + k) for k in range(6)], (base + 27, base + 30)]
+    base += 40
+    pairs += [(base + a, base + b) for a, b in {tuple(sorted(rng.sample(range(40), 2))) for _ in range(48)}]
     near = {}
     for a, b in pairs:
         near.setdefault(a, set()).add(b)
@@ -122,3 +126,4 @@ def test_blocks_against_a_naive_cut(spark):
     for r in traverse.biconnected_components(x).collect():
         found.setdefault((r.component, r.block), set()).add(r.id)
     assert all(sum({a, b} <= block for block in found.values()) == 1 for a, b in pairs)  # an edge lies in one block
+    assert sum(len(block) - 1 for block in found.values()) == len(near) - parts(None)  # blocks and cut vertices are a tree
