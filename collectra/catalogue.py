@@ -572,6 +572,13 @@ PAIRS = "(SELECT dst AS src, src AS dst FROM {DAGF} UNION SELECT id, id + 1 FROM
 query("dag_closing", "WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM {DAGF}), q AS MATERIALIZED (SELECT * FROM " + PAIRS + "), p(origin, id) AS (SELECT dst, dst FROM q UNION SELECT p.origin, e.dst FROM p JOIN e ON e.src = p.id) SELECT q.src, q.dst, EXISTS (FROM p WHERE p.origin = q.dst AND p.id = q.src) AS closes FROM q")(
     lambda s, sf: (lambda x, all_: traverse.closing(x, x.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).unionByName(all_.vertices.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))))(DAGF(s, sf), DG(s, sf))
 )
-query("graph_shortest_path", f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {{DAGF}}), p(id, cost, path) AS (SELECT {FIRST}, 0, [{FIRST}] UNION ALL SELECT e.dst, p.cost + e.value + e.dst % 4, list_append(path, e.dst) FROM p JOIN e ON e.src = p.id) SELECT CAST(cost AS BIGINT) AS cost, array_to_string(path, '>') AS path FROM p WHERE len(path) > 1 AND id % 2 = 1 ORDER BY p.cost, p.path LIMIT 1")(
+STEP = "e.value + e.dst % 4"
+query(
+    "graph_shortest_path",
+    f"WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {{DAGF}}), d(id, cost) AS (SELECT {FIRST}, 0 UNION SELECT e.dst, d.cost + {STEP} FROM d JOIN e ON e.src = d.id WHERE d.cost < 120), "
+    f"best AS MATERIALIZED (SELECT min(cost) AS least FROM d WHERE cost > 0 AND id % 2 = 1), "
+    f"p(id, cost, path) AS (SELECT {FIRST}, 0, [{FIRST}] UNION ALL SELECT e.dst, p.cost + {STEP}, list_append(path, e.dst) FROM p JOIN e ON e.src = p.id, best WHERE p.cost + {STEP} <= least) "
+    "SELECT CAST(cost AS BIGINT) AS cost, array_to_string(path, '>') AS path FROM p WHERE len(path) > 1 AND id % 2 = 1 ORDER BY p.cost, p.path LIMIT 1",
+)(
     lambda s, sf: (lambda x: traverse.shortest_path(x, start(x), F.col("id") % 2 == 1, F.col("value") + F.col("dst") % 4).select(F.col("cost").cast("long").alias("cost"), F.array_join("path", ">").alias("path")))(DAGF(s, sf))
 )

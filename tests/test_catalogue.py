@@ -9,8 +9,6 @@ import pytest
 import __spark_entry__ as entry
 from collectra import catalogue
 
-SLOW = {"graph_shortest_path_multi_source"}
-
 
 def rows(df: pd.DataFrame) -> list[str]:
     def plain(x):
@@ -29,7 +27,7 @@ def duck(sf):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
 def test_query(spark, sf, duck, name):
     got = catalogue.queries()[name](spark, sf).toPandas()
     want = duck.sql(catalogue.oracle_sql()[name]).df()
