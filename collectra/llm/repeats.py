@@ -87,6 +87,23 @@ def dealt(values: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def digests(found: list[bytes]) -> np.ndarray:
+    """(strings, 2): the 128-bit name of each string, as two numbers."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, found)), np.uint64).reshape(-1, 2)
+
+
+def places(names: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``own`` are among ``names`` (both as of ``digests``; the latter sorted, by first number then second), and where."""
+    spot = np.minimum(np.searchsorted(names[:, 0], own[:, 0]), len(names) - 1)
+    while True:  # names that share the first number stand together
+        on = (names[spot, 0] == own[:, 0]) & (names[spot, 1] < own[:, 1]) & (spot + 1 < len(names))
+        if not on.any():
+            break
+        spot = spot + on
+    hit = (names[spot] == own).all(axis=1)
+    return np.flatnonzero(hit), spot[hit]
+
+
 class Windows:
     """The anchors of all windows of some documents."""
 
@@ -332,8 +349,6 @@ def contexts(parts: int, length: int) -> Callable:
             return
         told = list(least)
         about = np.array(list(least.values()), np.int64)
-        if len({xxhash.xxh3_64_intdigest(c) for c in told}) < len(told):
-            raise RuntimeError("two contexts of a folder share a 64-bit digest")
         fine = dealt(about[:, 2], SHARDS * parts)
         order = np.argsort(fine, kind="stable")
         fine = fine[order]
@@ -387,7 +402,7 @@ def replies(length: int, memory: int) -> Callable:
         found = list(number)
         del number
         low = least_documents(found, least, length, memory)
-        digest = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in found), np.uint64, len(found))
+        digest = digests(found)
         weight = np.uint64(1) << np.arange(low.shape[1], dtype=np.uint64)
         for src, doc, several, at in known:
             bits = np.zeros(len(at), np.uint64)
@@ -395,7 +410,7 @@ def replies(length: int, memory: int) -> Callable:
                 bits[i : i + 65536] = ((low[at[i : i + 65536]] < doc[i : i + 65536, None]) * weight).sum(axis=1, dtype=np.uint64)
             told = (bits > 0) | (several > 0)
             if told.any():
-                yield src, digest[at[told]], doc[told], bits[told]
+                yield src, digest[at[told]].ravel(), doc[told], bits[told]
 
     def shard(rows: Iterator[Row]) -> Iterator[Row]:
         got = list(rows)
@@ -425,11 +440,9 @@ def removals(length: int) -> Callable:
     def block(w: Windows, shared: np.ndarray, digest: np.ndarray, least: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, list, bytes]]:
         marks = np.zeros(len(w.data) + 1, np.int32)
         which, found = w.contexts(shared)
-        own = np.fromiter((xxhash.xxh3_64_intdigest(c) for c in found), np.uint64, len(found))
-        if len(digest) and len(own):
-            spot = np.minimum(np.searchsorted(digest, own), len(digest) - 1)
-            hit = digest[spot] == own
-            which, spot = which[hit], spot[hit]
+        if len(digest) and len(found):
+            hit, spot = places(digest, digests(found))
+            which = which[hit]
             later = w.ids[w.doc[which]] > least[spot]
             width = w.last[which] - w.first[which] + 1
             mask = np.where(later, ~np.uint64(0), bits[spot])
@@ -466,7 +479,8 @@ def removals(length: int) -> Callable:
                 if told is None:
                     shared = np.sort(np.concatenate(notes)) if notes else np.zeros(0, np.uint64)
                     digest, least, bits = (np.concatenate(x) for x in zip(*got, strict=True)) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-                    order = np.argsort(digest)
+                    digest = digest.reshape(-1, 2)
+                    order = np.lexsort((digest[:, 1], digest[:, 0]))
                     told = shared, digest[order], least[order], bits[order]
                 w, own = known.windows(blob, length)
                 out = list(block(w, *told))

@@ -144,6 +144,13 @@ def test_repeats_against_brute_force(spark, sf, awkward, shards):
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_names_that_share_their_first_half():
+    names = np.array([[1, 5], [7, 1], [7, 2], [7, 9], [8, 0]], np.uint64)
+    own = np.array([[7, 9], [7, 3], [8, 0], [0, 0], [9, 9], [1, 5], [7, 1]], np.uint64)
+    which, spot = repeats.places(names, own)
+    assert which.tolist() == [0, 2, 5, 6] and spot.tolist() == [3, 4, 0, 1]
+
+
 def test_repeats_where_nothing_repeats(spark):
     rng = random.Random(3)
     docs = spark.createDataFrame([(i, "".join(rng.choice("abcdefghijklmnop ") for _ in range(300))) for i in range(20)], "doc_id long, text string")
