@@ -116,6 +116,18 @@ SQL["UV"] = f"(SELECT src AS id FROM {SQL['UG']} UNION SELECT dst FROM {SQL['UG'
 SQL["UB"] = f"(SELECT src, dst FROM {SQL['UG']} UNION SELECT dst, src FROM {SQL['UG']})"
 
 
+TURNED = "(SELECT dst AS src, src AS dst, value FROM {DG})"
+
+
+def same_rows(a: str, b: str) -> str:
+    return f"(SELECT count(*) = 0 FROM ((SELECT * FROM {a} EXCEPT ALL SELECT * FROM {b}) UNION ALL (SELECT * FROM {b} EXCEPT ALL SELECT * FROM {a})))"
+
+
+def side_by_side(column: str, **ones: DataFrame) -> DataFrame:
+    """Rows of one aggregate each as one row, the column of each under its name."""
+    return reduce(DataFrame.crossJoin, [d.select(F.col(column).alias(k)) for k, d in ones.items()])
+
+
 def key_set(m):
     return maps.keys(m)
 
@@ -166,12 +178,26 @@ query("map_keys", "SELECT key AS value FROM {A}")(lambda s, sf: maps.keys(A(s, s
 query("map_values", "SELECT value FROM {A}")(lambda s, sf: maps.values(A(s, sf)))
 query("map_entries", "SELECT key || ':' || CAST(floor(value) AS BIGINT) AS entry FROM {A}")(lambda s, sf: maps.entries(A(s, sf)).select(F.concat_ws(":", F.col("entry.key"), F.floor("entry.value").cast("long")).alias("entry")))
 query("set_zip", "SELECT value AS key, value * value AS value FROM {SA}")(lambda s, sf: sets.zip_(key_set(A(s, sf)), lambda v: v * v))
-query("map_equals", "SELECT true AS equal")(lambda s, sf: maps.equals(A(s, sf), maps.merge(A(s, sf), A(s, sf), lambda x, _: x)))
-query("map_equals_custom", "SELECT true AS equal")(lambda s, sf: maps.equals(A(s, sf), maps.map_values(A(s, sf), lambda _, v: F.floor(v).cast("double")), lambda x, y: F.floor(x) == F.floor(y)))
-query("set_equals", "SELECT false AS equal")(lambda s, sf: sets.equals(key_set(A(s, sf)), key_set(B(s, sf))))
+query("map_equals", f"SELECT {same_rows('{A}', '{A}')} AS same, {same_rows('{A}', '{B}')} AS other")(
+    lambda s, sf: side_by_side("equal", same=maps.equals(A(s, sf), maps.merge(A(s, sf), A(s, sf), lambda x, _: x)), other=maps.equals(A(s, sf), B(s, sf)))
+)
+
+
+def floors(step: int) -> str:
+    return f"(SELECT key, floor(value) + {step} FROM {{A}})"
+
+
+query("map_equals_custom", f"SELECT {same_rows(floors(0), floors(0))} AS same, {same_rows(floors(0), floors(1))} AS other")(
+    lambda s, sf: side_by_side("equal", **{name: maps.equals(A(s, sf), maps.map_values(A(s, sf), lambda _, v, n=n: F.floor(v).cast("double") + n), lambda x, y: F.floor(x) == F.floor(y)) for name, n in (("same", 0), ("other", 1))})
+)
+query("set_equals", f"SELECT {same_rows('{SA}', '{SA}')} AS same, {same_rows('{SA}', '{SB}')} AS other")(
+    lambda s, sf: side_by_side("equal", same=sets.equals(key_set(A(s, sf)), key_set(A(s, sf).repartition(3))), other=sets.equals(key_set(A(s, sf)), key_set(B(s, sf))))
+)
 query("map_custom_equality", "SELECT min(c_mktsegment) AS key, max(c_custkey) AS value FROM customer GROUP BY lower(c_mktsegment)")(lambda s, sf: maps.from_rows_alike(t(s, sf, "customer"), F.col("c_mktsegment"), F.col("c_custkey"), F.col("c_custkey"), F.lower))
 query("map_to_text", "SELECT '{{' || string_agg(n_nationkey || ' ' || n_name, ', ' ORDER BY n_nationkey) || '}}' AS text FROM nation")(lambda s, sf: maps.to_text(t(s, sf, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))))
-query("map_hash_order_free", "SELECT true AS same")(lambda s, sf: maps.hash_(A(s, sf)).unionByName(maps.hash_(A(s, sf).repartition(3))).agg((F.countDistinct("hash") == 1).alias("same")))
+query("map_hash_order_free", f"SELECT {same_rows('{A}', '{A}')} AS same, {same_rows('{A}', '{B}')} AS other")(
+    lambda s, sf: side_by_side("hash", a=maps.hash_(A(s, sf)), dealt=maps.hash_(A(s, sf).repartition(3)), b=maps.hash_(B(s, sf))).select((F.col("a") == F.col("dealt")).alias("same"), (F.col("a") == F.col("b")).alias("other"))
+)
 
 
 # Positions on maps and sets.
@@ -200,7 +226,9 @@ def popped(x):
 
 N = "(SELECT count(*) FROM events)"
 query("list_nth", "SELECT value FROM {LE} WHERE idx = 7")(lambda s, sf: seq.nth(LE(s, sf), 7))
-query("list_nth_default", "SELECT 'none' AS value")(lambda s, sf: seq.nth(LE(s, sf), -1, "none"))
+query("list_nth_default", f"SELECT coalesce((SELECT value FROM {{LE}} WHERE idx = {N} + 3), 'none') AS beyond, coalesce((SELECT value FROM {{LE}} WHERE idx = 7), 'none') AS inside")(
+    lambda s, sf: (lambda x: side_by_side("value", beyond=seq.nth(x, seq.size(x) + 3, "none"), inside=seq.nth(x, 7, "none")))(LE(s, sf))
+)
 query("list_first_last", f"SELECT (SELECT value FROM {{LE}} WHERE idx = 0) AS first, (SELECT value FROM {{LE}} WHERE idx = {N} - 1) AS last")(lambda s, sf: seq.first_last(LE(s, sf)))
 query("list_slice", "SELECT idx - 10 AS idx, value FROM {LE} WHERE idx BETWEEN 10 AND 99")(lambda s, sf: seq.slice_(LE(s, sf), 10, 100))
 query("list_iterator_from", "SELECT * FROM {LE} WHERE idx >= 50")(lambda s, sf: seq.iterate_from(LE(s, sf), 50))
@@ -221,12 +249,15 @@ query("list_merge_sorted", "SELECT row_number() OVER (ORDER BY event_type) - 1 A
     lambda s, sf: seq.merge_sorted(*(seq.sort(seq.from_order(t(s, sf, "events").where(F.pmod("event_id", F.lit(2)) == k), "event_type", "ts", "event_id")) for k in (0, 1)))
 )  # whole sorted sequences that partition the events
 query("list_indexed", "SELECT idx + 5 AS idx, value FROM {LE}")(lambda s, sf: seq.indexed(LE(s, sf), 5))
-query("list_equals", "SELECT true AS equal")(lambda s, sf: seq.equals(LE(s, sf), LE(s, sf)))
+BACKWARDS = f"(SELECT {N} - 1 - idx AS idx, value FROM {{LE}})"
+query("list_equals", f"SELECT {same_rows('{LE}', '{LE}')} AS same, {same_rows('{LE}', BACKWARDS)} AS other")(
+    lambda s, sf: (lambda x: side_by_side("equal", same=seq.equals(x, seq.reverse(seq.reverse(x))), other=seq.equals(x, seq.reverse(x))))(LE(s, sf))
+)
 query("list_array_index_of", "SELECT coalesce(min(idx), -1) AS first, coalesce(max(idx), -1) AS last FROM {LE} WHERE value = 'click'")(lambda s, sf: seq.position_of(LE(s, sf), "click"))
 query("list_to_text", "SELECT '[' || string_agg(r_name, ', ' ORDER BY r_regionkey) || ']' AS text FROM region")(lambda s, sf: seq.to_text(seq.from_order(t(s, sf, "region"), "r_name", "r_regionkey")))
-query("list_hash_ordered", "SELECT true AS same, false AS turned")(
-    lambda s, sf: (lambda x: seq.hash_(x).crossJoin(seq.hash_(x.repartition(3)).withColumnRenamed("hash", "h2")).crossJoin(seq.hash_(seq.reverse(x)).withColumnRenamed("hash", "h3")).select((F.col("hash") == F.col("h2")).alias("same"), (F.col("hash") == F.col("h3")).alias("turned")))(LE(s, sf))
-)  # rows of one aggregate each
+query("list_hash_ordered", f"SELECT {same_rows('{LE}', '{LE}')} AS same, {same_rows('{LE}', BACKWARDS)} AS turned")(
+    lambda s, sf: (lambda x: side_by_side("hash", a=seq.hash_(x), dealt=seq.hash_(x.repartition(3)), back=seq.hash_(seq.reverse(x))).select((F.col("a") == F.col("dealt")).alias("same"), (F.col("a") == F.col("back")).alias("turned")))(LE(s, sf))
+)
 
 
 # Arrays and map columns.
@@ -299,9 +330,13 @@ query("sorted_slice_inclusive", "SELECT * FROM {PM} WHERE key > 950 AND key <= 1
 query("int_slice_across_zero", "SELECT * FROM {IM} WHERE key >= -5 AND key < 5")(lambda s, sf: ordered.slice_(IM(s, sf), -5, 5))
 query("float_slice", "SELECT * FROM {FM} WHERE key >= 1000 AND key < 2000")(lambda s, sf: ordered.slice_(FM(s, sf), 1000.0, 2000.0))
 query("sorted_first_last", "SELECT min(key) AS first_key, max(key) AS last_key FROM {PM}")(lambda s, sf: ordered.first_last(PM(s, sf)))
-query("float_negative_zero", "SELECT 0.0::DOUBLE AS key, 2 AS value")(lambda s, _: maps.from_rows(maps.float_keys(s.createDataFrame([(-0.0, 1), (0.0, 2)], "key double, value int")), F.col("key"), F.col("value"), F.col("value")))
-query("double_order_encoding", "SELECT true AS ok")(
-    lambda s, sf: t(s, sf, "customer").select("c_acctbal", encodings.double_to_long("c_acctbal").alias("n")).select("c_acctbal", "n", encodings.long_to_double("n").alias("back")).agg((F.max(F.when(F.col("back") == F.col("c_acctbal"), 0).otherwise(1)) == 0).alias("ok"))
+query("float_negative_zero", "SELECT CASE WHEN x = 0 THEN 0.0 ELSE x END AS key, max(l_orderkey) AS value FROM (SELECT CAST(l_discount AS DOUBLE) * CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END AS x, l_orderkey FROM lineitem) GROUP BY 1")(
+    lambda s, sf: maps.from_rows(
+        maps.float_keys(t(s, sf, "lineitem").select((F.col("l_discount").cast("double") * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)).alias("key"), F.col("l_orderkey").alias("value"))), F.col("key"), F.col("value"), F.col("value"), F.max
+    )
+)
+query("double_order_encoding", "SELECT c_custkey, c_acctbal AS back FROM customer")(
+    lambda s, sf: t(s, sf, "customer").withColumn("n", encodings.double_to_long("c_acctbal")).select("c_custkey", encodings.long_to_double("n").alias("back"))
 )
 
 # Split and recombine.
@@ -338,7 +373,9 @@ for _name, _f, _s in (
 ):
     query(f"text_{_name}", f"SELECT doc_id, {_s} AS value FROM documents")(lambda s, sf, f=_f: doc(s, sf, f().alias("value")))
 query("text_compare_order", "SELECT doc_id, row_number() OVER (ORDER BY length(text), text, doc_id) - 1 AS idx FROM documents")(lambda s, sf: positions(doc(s, sf, "text"), *text.order(X()), "doc_id").select("doc_id", "idx"))
-query("text_hash")(lambda s, sf: doc(s, sf, text.one_at_a_time(X()).alias("value")))
+BYTES = "list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: (strpos('0123456789ABCDEF', x[1]) - 1) * 16 + strpos('0123456789ABCDEF', x[2]) - 1)"
+MIXED = f"list_reduce(list_prepend(0::BIGINT, {BYTES}), lambda a, x: xor((a + x) * 1025 % 4294967296, (a + x) * 1025 % 4294967296 // 64)) * 9 % 4294967296"
+query("text_hash", f"SELECT doc_id, xor(h, h // 2048) * 32769 % 4294967296 AS value FROM (SELECT doc_id, {MIXED} AS h FROM documents)")(lambda s, sf: doc(s, sf, text.one_at_a_time(X()).alias("value")))
 
 # Bits.
 def K():
@@ -359,6 +396,9 @@ for _name, _f, _s in (
     ("interleave", lambda: bits.interleave([K(), K()], 20), "CAST(list_sum(list_transform(range(20), lambda b: ((p_partkey >> b::BIGINT) & 1) * 3 * (1::BIGINT << (2 * b)::BIGINT))) AS BIGINT)"),
     ("positions", lambda: F.array_join(bits.positions(K()), ","), "array_to_string(list_filter(range(64), lambda b: (p_partkey >> b::BIGINT) & 1 = 1), ',')"),
     ("rank", lambda: bits.rank(K(), F.lit(16).cast("long")), "bit_count(p_partkey & 15)"),
+    ("offset", lambda: bits.bit_offset(bits.lowest_bit(K())), "length(ltrim(bin(p_partkey & -p_partkey), '0')) - 1"),
+    ("below", lambda: K().bitwiseAND(F.lit(bits.mask_below(4)).cast("long")), "p_partkey & 15"),
+    ("above", lambda: K().bitwiseAND(F.lit(bits.mask_above(4)).cast("long")), "p_partkey - (p_partkey & 15)"),
 ):
     query(f"bit_{_name}", f"SELECT p_partkey, {_s} AS value FROM (SELECT p_partkey + 1 AS p_partkey FROM part)")(lambda s, sf, f=_f: t(s, sf, "part").select((K() + 1).alias("p_partkey")).select("p_partkey", f().alias("value")))
 query("bitset_insert_point", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey < 60 THEN p_partkey // 3 ELSE -(least((p_partkey + 2) // 3, 20) + 1) END AS value FROM part")(
@@ -380,17 +420,23 @@ query("graph_unlink", "SELECT * FROM {DG} WHERE src <> dst")(lambda s, sf: (lamb
 query("graph_add_remove_vertex", "SELECT * FROM {DG} WHERE src % 7 <> 0 AND dst % 7 <> 0")(lambda s, sf: (lambda x: g.remove_vertices(g.add_vertices(x, s.range(7, 8)), x.vertices.where("id % 7 = 0")).edges)(DG(s, sf)))
 query("graph_map_edges", "SELECT src, dst, src + dst + value AS value FROM {DG}")(lambda s, sf: g.map_edges(DG(s, sf), lambda a, b, v: a + b + v).edges)
 query("graph_undirected_edge", "SELECT src, dst, value FROM (SELECT dst AS src, src AS dst, 1 AS value FROM {UG})")(lambda s, sf: (lambda x: g.edge(x, x.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), F.lit(0)))(UG(s, sf)))
-query("graph_equals", "SELECT true AS equal")(lambda s, sf: g.equals(DG(s, sf), g.transpose(g.transpose(DG(s, sf)))))
-query("graph_hash", "SELECT true AS same, false AS turned")(
-    lambda s, sf: (lambda x: g.hash_(x).crossJoin(g.hash_(g.transpose(g.transpose(x))).withColumnRenamed("hash", "h2")).crossJoin(g.hash_(g.transpose(x)).withColumnRenamed("hash", "h3")).select((F.col("hash") == F.col("h2")).alias("same"), (F.col("hash") == F.col("h3")).alias("turned")))(DG(s, sf))
-)  # rows of one aggregate each
+query("graph_equals", f"SELECT {same_rows('{DG}', '{DG}')} AS same, {same_rows('{DG}', TURNED)} AS turned")(
+    lambda s, sf: (lambda x: side_by_side("equal", same=g.equals(x, g.transpose(g.transpose(x))), turned=g.equals(x, g.transpose(x))))(DG(s, sf))
+)
+query("graph_hash", f"SELECT {same_rows('{DG}', '{DG}')} AS same, {same_rows('{DG}', TURNED)} AS turned")(
+    lambda s, sf: (lambda x: side_by_side("hash", a=g.hash_(x), twice=g.hash_(g.transpose(g.transpose(x))), back=g.hash_(g.transpose(x))).select((F.col("a") == F.col("twice")).alias("same"), (F.col("a") == F.col("back")).alias("turned")))(DG(s, sf))
+)
 query("graph_vertex_index_of", "SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx FROM {DV}")(lambda s, sf: positions(DG(s, sf).vertices, "id").select("id", "idx"))
 query("dag_top", "SELECT id FROM (SELECT src AS id FROM {DAGF} UNION SELECT dst FROM {DAGF}) WHERE id NOT IN (SELECT dst FROM {DAGF})")(lambda s, sf: g.top(DAGF(s, sf)))
 query("dag_bottom", "SELECT id FROM (SELECT src AS id FROM {DAGF} UNION SELECT dst FROM {DAGF}) WHERE id NOT IN (SELECT src FROM {DAGF})")(lambda s, sf: g.bottom(DAGF(s, sf)))
 query("dag_levels", "WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {DAGF}), p(id, level) AS (SELECT id, 0 FROM (SELECT src AS id FROM e UNION SELECT dst FROM e) UNION SELECT e.dst, p.level + 1 FROM p JOIN e ON e.src = p.id) SELECT id, CAST(max(level) AS INTEGER) AS level FROM p GROUP BY id")(lambda s, sf: traverse.levels(DAGF(s, sf)))
 query("dag_link", "SELECT src, dst, value FROM {DAGF} UNION ALL SELECT -1, (SELECT min(src) FROM {DAGF}), 1")(lambda s, sf: (lambda x: traverse.dag_link(x, x.edges.agg(F.lit(-1).cast("long").alias("src"), F.min("src").alias("dst"), F.lit(1).cast("long").alias("value"))).edges)(DAGF(s, sf)))
-query("dag_link_rejects_cycle", "SELECT true AS rejected")(lambda s, sf: s.range(1).select(F.lit(closes(DAGF(s, sf))).alias("rejected")))
-query("dag_is_acyclic", "SELECT true AS dag, false AS digraph")(lambda s, sf: s.range(1).select(F.lit(traverse.is_acyclic(DAGF(s, sf))).alias("dag"), F.lit(traverse.is_acyclic(TR(s, sf))).alias("digraph")))
+query("dag_link_rejects_cycle", "SELECT count(*) > 0 AS rejected FROM {DAGF} a JOIN {DAGF} b ON a.src = b.src AND a.dst = b.dst")(lambda s, sf: s.range(1).select(F.lit(closes(DAGF(s, sf))).alias("rejected")))
+REACH = "e{0} AS MATERIALIZED (SELECT src, dst FROM {1}), p{0}(origin, id) AS (SELECT src, dst FROM e{0} UNION SELECT p.origin, e.dst FROM p{0} p JOIN e{0} e ON e.src = p.id)"
+ACYCLIC = "NOT EXISTS (FROM p{0} WHERE origin = id)"
+query("dag_is_acyclic", f"WITH RECURSIVE {REACH.format(1, '{DAGF}')}, {REACH.format(2, '{TR}')} SELECT {ACYCLIC.format(1)} AS dag, {ACYCLIC.format(2)} AS digraph")(
+    lambda s, sf: s.range(1).select(F.lit(traverse.is_acyclic(DAGF(s, sf))).alias("dag"), F.lit(traverse.is_acyclic(TR(s, sf))).alias("digraph"))
+)
 
 
 def closes(x: Graph) -> bool:
@@ -449,13 +495,8 @@ def cases(s, sf):
     return reduce(DataFrame.unionByName, [e.select(F.lit(k).alias("name"), "equal") for k, e in got.items()])
 
 
-def same_rows(a: str, b: str) -> str:
-    return f"(SELECT count(*) = 0 FROM ((SELECT * FROM {a} EXCEPT ALL SELECT * FROM {b}) UNION ALL (SELECT * FROM {b} EXCEPT ALL SELECT * FROM {a})))"
-
-
 CHANGED = "(SELECT key, CASE WHEN key = 1 THEN value + 1 ELSE value END AS value FROM {A})"
 OTHER = "(SELECT idx, CASE WHEN idx = 3 THEN 'other' ELSE value END AS value FROM {LE})"
-TURNED = "(SELECT dst AS src, src AS dst, value FROM {DG})"
 query(
     "equality_cases",
     " UNION ALL ".join(
@@ -582,3 +623,31 @@ query(
 )(
     lambda s, sf: (lambda x: traverse.shortest_path(x, start(x), F.col("id") % 2 == 1, F.col("value") + F.col("dst") % 4).select(F.col("cost").cast("long").alias("cost"), F.array_join("path", ">").alias("path")))(DAGF(s, sf))
 )
+
+# Views over arrays, sizes, emptied collections, and what runs once.
+def counted_at_end(x: DataFrame) -> DataFrame:
+    seen: list[int] = []
+    done = seq.on_exhaustion(x, lambda produced: seen.append(produced.count()))
+    return done.withColumn("n", F.lit(sum(seen)).cast("long"))
+
+
+query("array_view", "SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS idx, event_type AS value FROM events")(lambda s, sf: virtual.view(per_user(s, sf), ["user_id"], "a"))
+query("collection_sizes", f"SELECT (SELECT count(*) FROM {{A}}) AS map, (SELECT count(*) FROM {{SA}}) AS \"set\", {N} AS list")(
+    lambda s, sf: s.range(1).select(*[F.lit(seq.size(x)).cast("long").alias(k) for k, x in (("map", A(s, sf)), ("set", key_set(A(s, sf))), ("list", LE(s, sf)))])
+)
+query("list_clear", "SELECT 0 AS idx, 'z' AS value")(lambda s, sf: seq.add_last(seq.clear(LE(s, sf)), "z"))
+query("list_on_exhaustion", f"SELECT idx, value, {N} AS n FROM {{LE}}")(lambda s, sf: counted_at_end(LE(s, sf)))
+query("list_memoized", f"SELECT idx, upper(value) AS value FROM {{LE}} UNION ALL SELECT idx + {N}, upper(value) FROM {{LE}}")(lambda s, sf: (lambda m: seq.concat(m(F.upper), m(F.upper)))(seq.memoized(lambda f: seq.lazy_map(LE(s, sf), f))))
+query("map_col_put", f"SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS value FROM (SELECT * FROM {CNT} WHERE event_type <> 'click' UNION ALL SELECT DISTINCT user_id, 'click', 0 FROM events) GROUP BY 1")(
+    lambda s, sf: counts(s, sf).select("user_id", nested.map_text(nested.put(F.col("m"), F.lit("click"), F.lit(0).cast("long"))).alias("value"))
+)
+query("map_col_get", f"SELECT user_id, coalesce(max(n) FILTER (event_type = 'click'), -1) AS value FROM {CNT} GROUP BY 1")(lambda s, sf: counts(s, sf).select("user_id", nested.get(F.col("m"), F.lit("click"), F.lit(-1).cast("long")).alias("value")))
+query("bitset_get", "SELECT p_partkey, p_partkey + 2 AS value, NULL::BIGINT AS beyond FROM part")(
+    lambda s, sf: (lambda a: t(s, sf, "part").select("p_partkey", bits.get_sorted(a, 2).alias("value"), bits.get_sorted(a, 5).alias("beyond")))(F.sequence(F.col("p_partkey"), F.col("p_partkey") + 4))
+)
+query("virtual_sorted_map", "SELECT range * range AS key, CAST(range AS DOUBLE) AS value FROM range(1000)")(lambda s, _: squares().map(s, F.sqrt))
+for _name, _f, _s in (("sub_sequence", lambda: text.sub_sequence(X(), 1, 12), "substr(text, 2, 11)"), ("char_at", lambda: text.char_at(X(), 3), "unicode(substr(text, 4, 1))")):
+    query(f"text_{_name}", f"SELECT doc_id, {_s} AS value FROM documents WHERE length(text) > 12")(lambda s, sf, f=_f: doc(s, sf, "text").where("length(text) > 12").select("doc_id", f().alias("value")))
+query("text_equals", "SELECT a.doc_id, a.text = b.text AS value FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")(
+    lambda s, sf: doc(s, sf, "text").join(doc(s, sf, F.col("text").alias("other")).withColumn("doc_id", F.col("doc_id") - 1), "doc_id").select("doc_id", (X() == F.col("other")).alias("value"))
+)

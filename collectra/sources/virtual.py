@@ -82,6 +82,11 @@ class VirtualSortedSet(VirtualSet):
         return self.rows(spark).where((F.col("value") >= low) & (F.col("value") < high))
 
 
+def view(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """(keys, idx, value): the arrays of a column as sequences, nothing copied; an empty or null array has no rows."""
+    return df.select(*keys, F.posexplode(column).alias("idx", "value"))
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
