@@ -25,10 +25,10 @@ def guarded(s: Column, bad: Column, value: Column) -> Column:
     return F.when(s.isNotNull() & bad, F.raise_error(F.lit("the place is out of the text"))).otherwise(value)
 
 
-def nth(s: Column, i: Place, strict: bool = False) -> Column:
-    """The code point at i; out of range: null, or an error if ``strict``."""
+def nth(s: Column, i: Place, strict: bool = False, default: int | None = None) -> Column:
+    """The code point at i; out of range: ``default``, or an error if ``strict``. A null text stays null."""
     i = placed(i)
-    found = F.when((i >= 0) & (i < F.length(s)), F.ascii(F.substring(s, i + 1, F.lit(1))))
+    found = F.when((i >= 0) & (i < F.length(s)), F.ascii(F.substring(s, i + 1, F.lit(1)))).when(s.isNotNull(), F.lit(default).cast("int"))
     return guarded(s, (i < 0) | (i >= F.length(s)), found) if strict else found
 
 
