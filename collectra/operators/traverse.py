@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import cut
+from ..plans.lineage import cut, stored
 from .graph import Graph, link
 
 
@@ -120,18 +120,56 @@ def dag_link(g: Graph, edges: DataFrame, merge: Callable[[Column, Column], Colum
     return dag(link(g, edges, merge))
 
 
+def ascends(edges: DataFrame) -> bool:
+    """Whether every edge goes to a greater vertex. Then so does every way, and none comes back."""
+    return edges.where(~F.coalesce(F.col("src") < F.col("dst"), F.lit(False))).isEmpty()
+
+
 def closing(g: Graph, pairs: DataFrame) -> DataFrame:
-    """``pairs`` (src, dst) with ``closes``: whether linking them would close a cycle, as dst reaches src (or is it)."""
-    wanted = cut(pairs.select("src", "dst").distinct())
-    edges = cut(g.both_ways().select("src", "dst"))
-    seen = [cut(wanted.select(F.col("dst").alias("origin"), F.col("dst").alias("id")).distinct())]
-    frontier = seen[0]
-    while not frontier.isEmpty():
-        step = frontier.join(edges, frontier["id"] == edges["src"]).select("origin", F.col("dst").alias("id")).distinct()
-        frontier = cut(step.join(gathered(seen), ["origin", "id"], "left_anti"))
+    """``pairs`` (src, dst) with ``closes``: whether linking them would close a cycle, as dst reaches src (or is it).
+
+    In an undirected graph that is to lie in one component. In a directed one most pairs need no search: their ends
+    are alike, an edge leads from dst to src, or all edges ascend and dst is greater. The others are searched from all
+    dst at once, only over vertices whose level is no deeper than the deepest src that is wanted of that dst, and a dst
+    stops when all its pairs are found. Such a search can still visit any vertex from any dst.
+    """
+    known = stored(pairs.select("src", "dst").distinct())
+    if not g.directed:
+        ids = stored(connected_components(g))
+        a, b = ids.select(F.col("id").alias("src"), F.col("component").alias("_a")), ids.select(F.col("id").alias("dst"), F.col("component").alias("_b"))
+        return known.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", F.coalesce((F.col("src") == F.col("dst")) | (F.col("_a") == F.col("_b")), F.lit(False)).alias("closes"))
+    edges = stored(g.edges.select("src", "dst"))
+    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("_edge")).distinct()
+    back = F.lit(ascends(edges)) & (F.col("dst") > F.col("src"))
+    known = stored(known.join(turned, ["src", "dst"], "left").select("src", "dst", F.when((F.col("src") == F.col("dst")) | F.col("_edge"), True).when(back, False).alias("closes")))
+    found = searched(g, edges, known.where("closes is null").select("src", "dst"))
+    if found is None:
+        return known.select("src", "dst", F.coalesce("closes", F.lit(False)).alias("closes"))
+    return known.join(found.withColumn("_hit", F.lit(True)), ["src", "dst"], "left").select("src", "dst", F.coalesce("closes", "_hit", F.lit(False)).alias("closes"))
+
+
+def searched(g: Graph, edges: DataFrame, pairs: DataFrame) -> DataFrame | None:
+    """Those ``pairs`` (src, dst) of which dst reaches src; None where there are no pairs to search."""
+    if pairs.isEmpty():
+        return None
+    try:
+        level, below = stored(levels(g)), "low < top"
+    except CycleError:
+        level, below = stored(g.vertices.withColumn("level", F.lit(0))), "true"
+    tops, lows = level.select(F.col("id").alias("src"), F.col("level").alias("top")), level.select(F.col("id").alias("dst"), F.col("level").alias("low"))
+    left = stored(pairs.join(tops, "src").join(lows, "dst").where(below).select("src", "dst", "top"))
+    onward = stored(edges.join(lows, "dst").select("src", "dst", "low"))
+    frontier = stored(left.select(F.col("dst").alias("origin"), F.col("dst").alias("id")).distinct())
+    seen, hits = [frontier], [left.select("src", "dst").limit(0)]
+    while not left.isEmpty() and not frontier.isEmpty():
+        wanted = left.groupBy(F.col("dst").alias("origin")).agg(F.max("top").alias("top"))
+        step = frontier.join(wanted, "origin").join(onward, F.col("id") == F.col("src")).where("low <= top").select("origin", F.col("dst").alias("id")).distinct()
+        frontier = stored(step.join(gathered(seen), ["origin", "id"], "left_anti"))
         seen.append(frontier)
-    hit = gathered(seen).select(F.col("origin").alias("dst"), F.col("id").alias("src"), F.lit(True).alias("_hit"))
-    return wanted.join(hit, ["src", "dst"], "left").select("src", "dst", F.coalesce("_hit", F.lit(False)).alias("closes"))
+        hit = stored(left.join(frontier.select(F.col("origin").alias("dst"), F.col("id").alias("src")), ["src", "dst"], "left_semi").select("src", "dst"))
+        hits.append(hit)
+        left = stored(left.join(hit, ["src", "dst"], "left_anti"))
+    return gathered(hits)
 
 
 def split(g: Graph) -> tuple[DataFrame, DataFrame]:
