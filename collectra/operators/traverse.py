@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import cut, stored
 from .graph import Graph, link
+from .positions import positions
 
 
 class CycleError(ValueError):
@@ -71,12 +72,44 @@ def stars(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def connected_components(g: Graph) -> DataFrame:
-    """(id, component): the least vertex of each component. Directed graphs are refused."""
+def numbered(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """Vertices (id, n), n in the order of the ids, and the edges between different ones as numbers (a, b), a < b, written once.
+
+    Minima of numbers are combined by hash where those of strings are sorted, and a row is a third of the size.
+    """
     if g.directed:
         raise ValueError("components are of undirected graphs")
-    found = stars(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    return g.vertices.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    names = stored(positions(stored(g.vertices), F.asc_nulls_first("id"), out="n"))
+    a, b = names.select(F.col("id").alias("src"), F.col("n").alias("a")), names.select(F.col("id").alias("dst"), F.col("n").alias("b"))
+    return names, stored(g.edges.where("src <> dst").select("src", "dst").join(a, "src").join(b, "dst").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def turned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) in both directions."""
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def labelled(edges: DataFrame) -> DataFrame:
+    """(node, component) as ``stars`` gives them, by few passes over many edges (a, b).
+
+    Every vertex's least and greatest neighbour, at most two edges a vertex, give parts. All edges are then held
+    against these; those between different parts, as a rule few, join them.
+    """
+    ends = turned(edges).groupBy("a").agg(F.min("b").alias("_least"), F.max("b").alias("_most"))
+    parts = stored(stars(stored(ends.select("a", F.explode(F.array_distinct(F.array("_least", "_most"))).alias("b")))))
+    a, b = parts.select(F.col("node").alias("a"), F.col("component").alias("_a")), parts.select(F.col("node").alias("b"), F.col("component").alias("_b"))
+    between = stored(edges.join(a, "a").join(b, "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+    if between.isEmpty():
+        return parts
+    joined = stars(between).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    return stored(parts.join(joined, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")))
+
+
+def connected_components(g: Graph) -> DataFrame:
+    """(id, component): the least vertex of each component. Directed graphs are refused."""
+    names, edges = numbered(g)
+    own = names.join(labelled(edges), F.col("n") == F.col("node"), "left").select("id", F.coalesce("component", "n").alias("_c"))
+    return own.join(names.select(F.col("id").alias("component"), F.col("n").alias("_c")), "_c").select("id", "component")
 
 
 def levels(g: Graph) -> DataFrame:
@@ -139,9 +172,9 @@ def closing(g: Graph, pairs: DataFrame) -> DataFrame:
         a, b = ids.select(F.col("id").alias("src"), F.col("component").alias("_a")), ids.select(F.col("id").alias("dst"), F.col("component").alias("_b"))
         return known.join(a, "src", "left").join(b, "dst", "left").select("src", "dst", F.coalesce((F.col("src") == F.col("dst")) | (F.col("_a") == F.col("_b")), F.lit(False)).alias("closes"))
     edges = stored(g.edges.select("src", "dst"))
-    turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("_edge")).distinct()
+    against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("_edge")).distinct()
     back = F.lit(ascends(edges)) & (F.col("dst") > F.col("src"))
-    known = stored(known.join(turned, ["src", "dst"], "left").select("src", "dst", F.when((F.col("src") == F.col("dst")) | F.col("_edge"), True).when(back, False).alias("closes")))
+    known = stored(known.join(against, ["src", "dst"], "left").select("src", "dst", F.when((F.col("src") == F.col("dst")) | F.col("_edge"), True).when(back, False).alias("closes")))
     found = searched(g, edges, known.where("closes is null").select("src", "dst"))
     if found is None:
         return known.select("src", "dst", F.coalesce("closes", F.lit(False)).alias("closes"))

@@ -41,3 +41,40 @@ def test_closing_searches_only_open_pairs(spark, monkeypatch):
     ask = spark.createDataFrame([(k + 1, k) for k in range(30)] + [(k, k + 1) for k in range(30)], "src long, dst long")
     found = {(r.src, r.dst): r.closes for r in traverse.closing(chain, ask).collect()}
     assert found == {**{(k + 1, k): True for k in range(30)}, **{(k, k + 1): False for k in range(30)}} and not searches
+
+
+def least(pairs):
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    walk = {(a, b) for a in near for b in near[a]}
+    return {v: min(reached(walk, v)) for v in near}
+
+
+def test_components_pass_on_two_edges_a_vertex(spark, monkeypatch):
+    given, stars = [], traverse.stars
+    monkeypatch.setattr(traverse, "stars", lambda links: given.append(links.count()) or stars(links))
+    whole = [(a, b) for a in range(40) for b in range(a)]
+    assert {r.component for r in traverse.connected_components(graph(spark, whole, False)).collect()} == {0}
+    assert given and max(given) <= 80
+
+
+def test_components_that_least_and_greatest_neighbours_leave_apart(spark):
+    rng = random.Random(2)
+    # Two cliques over {0..9, 30..39}, interleaved; their one link is between middle neighbours.
+    a, b = [*range(0, 5), *range(30, 35)], [*range(5, 10), *range(35, 40)]
+    pairs = {(x, y) for c in (a, b) for x in c for y in c if x < y} | {(4, 5), (50, 51), (60, 60)}
+    middle = {(x, y) for base in (100, 200) for x in range(base, base + 9) for y in range(x + 1, base + 9)} | {(108, 200), (103, 204)}
+    some = {tuple(sorted(rng.sample(range(300, 400), 2))) for _ in range(70)}
+    for g in (pairs, middle, some):
+        got = {r.id: r.component for r in traverse.connected_components(graph(spark, g, False)).collect()}
+        assert got == least(g)
+
+
+def test_parts_are_joined_by_an_edge_between_middle_neighbours(spark):
+    wings = {(0, 10), (0, 11), (10, 90), (11, 91), (90, 99), (91, 99)} | {(1, 20), (1, 21), (20, 80), (21, 81), (80, 98), (81, 98), (20, 79)}
+    pairs = {(0, 50), (50, 99), (1, 51), (51, 98), (50, 51)} | wings  # 50: 0, 51, 99; 51: 1, 50, 98
+    edges = spark.createDataFrame(sorted(pairs), "a long, b long")
+    assert {r.node: r.component for r in traverse.labelled(edges).collect()} == least(pairs)
+    assert set(least(pairs).values()) == {0}
