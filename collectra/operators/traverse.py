@@ -365,17 +365,13 @@ def shortest_path(g: Graph, starts: DataFrame, accept: Column, cost: Column) ->
             return best.where(accept).agg(F.min(F.struct("dist", "path")).alias("b")).where("b is not null").select(F.col("b.dist").alias("cost"), F.col("b.path").alias("path"))
 
 
-def trees(g: Graph) -> list[DataFrame]:
-    """A breadth-first tree of each component of an undirected graph, from its least vertex: (id, component, parent, level), a table a level."""
-    ids = connected_components(g)
-    edges = cut(g.both_ways().where("src <> dst").select("src", "dst"))
-    none = F.lit(None).cast(g.vertices.schema["id"].dataType)
-    found = [cut(ids.where("id = component").select("id", "component", none.alias("parent"), F.lit(0).alias("level")))]
-    seen = list(found)
+def trees(edges: DataFrame, parts: DataFrame) -> list[DataFrame]:
+    """A breadth-first tree of each component (node, component) of the edges (a, b), from its least vertex: (id, parent, level), a table a level."""
+    found = [stored(parts.where("node = component").select(F.col("node").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")))]
+    both, seen = turned(edges), list(found)
     while True:
-        step = found[-1].select(F.col("id").alias("src"), "component").join(edges, "src").groupBy(F.col("dst").alias("id"))
-        step = step.agg(F.min("component").alias("component"), F.min("src").alias("parent"), F.lit(len(found)).alias("level"))
-        last = cut(step.join(gathered(seen), "id", "left_anti"))
+        step = found[-1].select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("parent"), F.lit(len(found)).alias("level"))
+        last = stored(step.join(gathered(seen), "id", "left_anti"))
         if last.isEmpty():
             return found
         found.append(last)
@@ -385,40 +381,44 @@ def trees(g: Graph) -> list[DataFrame]:
 def blocks(g: Graph) -> DataFrame:
     """(component, block, id, cut_vertex): the biconnected blocks' vertices. A block is named by one of its vertices; an isolated vertex is in none.
 
-    In a breadth-first tree no other edge joins a vertex with one above it. So the tree edges from both its ends up
-    to where the ways meet are in one block with it, and blocks are what such links connect. Pairs of ends climb
-    together, a round a level of the tree; alike pairs become one, so no round has more rows than there are edges.
+    In a breadth-first tree no other edge joins a vertex with one above it. Then all edges outside the tree that hang
+    together lie in one block (Cong and Bader, 2005), and with them the tree edges between their ends: what these ends
+    pass as they climb until they meet. So one row a vertex climbs, not one an edge. A class of ends takes a round a
+    level of the tree and stops at the vertex where all of it has met; blocks are classes that share a tree edge.
     """
-    by_level = trees(g)
-    tree = gathered(list(by_level))
-    a = tree.select(F.col("id").alias("src"), F.col("parent").alias("up_a"), F.col("level").alias("at_a"))
-    b = tree.select(F.col("id").alias("dst"), F.col("parent").alias("up_b"), F.col("level").alias("at_b"))
-    rest = g.edges.where("src <> dst").select("src", "dst").join(a, "src").join(b, "dst").where("not (up_a <=> dst) and not (up_b <=> src)")
-    first = F.when(F.col("at_a") > F.col("at_b"), F.col("up_a")).otherwise(F.col("src"))
-    second = F.when(F.col("at_b") > F.col("at_a"), F.col("up_b")).otherwise(F.col("dst"))
-    lower = F.when(F.col("at_a") > F.col("at_b"), F.col("src")).when(F.col("at_b") > F.col("at_a"), F.col("dst"))
-    rest = cut(rest.select(F.least("at_a", "at_b").alias("level"), first.alias("a"), second.alias("b"), lower.alias("lower"), F.when(F.col("at_a") > F.col("at_b"), first).otherwise(second).alias("upper")))
-    links = [rest.where("lower is not null").select(F.col("lower").alias("a"), F.col("upper").alias("b"))]
-    begun, climbed = {r.level for r in rest.select("level").distinct().collect()}, None
+    names, edges = numbered(g)
+    parts = labelled(edges)
+    by_level = trees(edges, parts)
+    tree = stored(gathered(list(by_level)))
+    limbs = tree.where("parent is not null").select(F.least("id", "parent").alias("a"), F.greatest("id", "parent").alias("b"))
+    classes = labelled(stored(edges.join(limbs, ["a", "b"], "left_anti").select("a", "b"))).select(F.col("node").alias("id"), F.col("component").alias("class"))
+    ends = stored(classes.join(tree, "id").select("id", "class", "level"))
+    ends = stored(ends.join(ends.groupBy("class").agg(F.min("level").alias("top")), "class").select("id", "class", "level", "top"))
+    links, climbed = [ends.select(F.col("id").alias("a"), F.col("class").alias("b")).limit(0)], None
+    begun = {r.level for r in ends.select("level").distinct().collect()}
     for level in range(len(by_level) - 1, 0, -1):
         if level not in begun and climbed is None:
             continue
-        pairs = rest.where(F.col("level") == level).select("a", "b")
+        here = ends.where(F.col("level") == level).select("id", "class", "top")
         if climbed is not None:
-            pairs = pairs.unionByName(climbed.select(F.col("pa").alias("a"), F.col("pb").alias("b")))
-        pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        ups = by_level[level].select("id", "parent")
-        up_a, up_b = ups.select(F.col("id").alias("a"), F.col("parent").alias("pa")), ups.select(F.col("id").alias("b"), F.col("parent").alias("pb"))
-        climbed = cut(pairs.join(up_a, "a").join(up_b, "b").where("pa <> pb").select("a", "pa", "pb"))
-        links += [pairs, climbed.select("a", F.col("pa").alias("b"))]
+            here = here.unionByName(climbed.select(F.col("parent").alias("id"), "class", "top")).distinct()
+        met = here.groupBy("class").agg((F.count(F.lit(1)) == 1).alias("_met"))
+        going = here.join(met, "class").where((F.col("top") < level) | ~F.col("_met"))
+        climbed = stored(going.join(by_level[level].select("id", "parent"), "id").select("id", "class", "top", "parent"))
+        links.append(climbed.select(F.col("id").alias("a"), (-1 - F.col("class")).alias("b")))
         gathered(links)
         climbed = None if climbed.isEmpty() else climbed
-    named = stars(gathered(links)).select(F.col("node").alias("_i"), F.col("component").alias("_b"))
-    own = tree.where("parent is not null").join(named, F.col("id") == F.col("_i"), "left").withColumn("block", F.coalesce("_b", "id"))
-    members = own.select("component", "block", "id").unionByName(own.select("component", "block", F.col("parent").alias("id")))
-    members = cut(members.distinct())
-    shared = members.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("cut_vertex"))
-    return members.join(shared, "id").select("component", "block", "id", "cut_vertex")
+    shared = stored(stars(gathered(links)).where("node >= 0"))
+    least = shared.groupBy("component").agg(F.min("node").alias("_b"))
+    named = shared.join(least, "component").select(F.col("node").alias("id"), "_b")
+    own = tree.where("parent is not null").join(named, "id", "left").withColumn("block", F.coalesce("_b", "id"))
+    members = own.select("block", "id").unionByName(own.select("block", F.col("parent").alias("id")))
+    members = stored(members.distinct())
+    cuts = members.groupBy("id").agg((F.count(F.lit(1)) > 1).alias("cut_vertex"))
+    found = members.join(cuts, "id").join(parts.select(F.col("node").alias("id"), "component"), "id")
+    for column in ("component", "block", "id"):
+        found = found.withColumnRenamed(column, "n").join(names.select("n", F.col("id").alias(f"_{column}")), "n").drop("n")
+    return found.select(F.col("_component").alias("component"), F.col("_block").alias("block"), F.col("_id").alias("id"), "cut_vertex")
 
 
 def biconnected_components(g: Graph) -> DataFrame:
