@@ -78,3 +78,14 @@ def test_parts_are_joined_by_an_edge_between_middle_neighbours(spark):
     edges = spark.createDataFrame(sorted(pairs), "a long, b long")
     assert {r.node: r.component for r in traverse.labelled(edges).collect()} == least(pairs)
     assert set(least(pairs).values()) == {0}
+
+
+def test_blocks_climb_a_row_a_vertex(spark, monkeypatch):
+    given, stars = [], traverse.stars
+    monkeypatch.setattr(traverse, "stars", lambda links: given.append(links.count()) or stars(links))
+    whole = [(a, b) for a in range(40) for b in range(a)] + [(39, 40), (40, 41)]
+    found = {}
+    for r in traverse.biconnected_components(graph(spark, whole, False)).collect():
+        found.setdefault(r.block, set()).add(r.id)
+    assert sorted(map(sorted, found.values())) == [list(range(40)), [39, 40], [40, 41]]
+    assert given and max(given) <= 84
