@@ -115,28 +115,41 @@ def connected_components(g: Graph) -> DataFrame:
 def levels(g: Graph) -> DataFrame:
     """(id, level) by peeling: level 0 has no edge into it, level n + 1 only from levels up to n. A cycle raises.
 
-    Every round takes a level off or raises, so it ends; it writes that level and the edges that are left.
+    Every round takes a level off or raises, so it ends. The edges are written once; a round writes how many edges into
+    each vertex are left.
     """
     if not g.directed:
         raise ValueError("levels are of directed graphs")
-    edges, found = cut(g.edges.select("src", "dst")), []
-    free = cut(g.vertices.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("level")))
+    edges, found = stored(g.edges.select("src", "dst")), []
+    waiting = stored(edges.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("n")))
+    free = stored(g.vertices.join(waiting, "id", "left_anti").select("id", F.lit(0).alias("level")))
     for level in count(1):
         if free.isEmpty():
             break
         found.append(free)
-        after = edges.join(free.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        edges = cut(edges.join(free.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"))
-        free = cut(after.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)))
+        met = free.select(F.col("id").alias("src")).join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_met"))
+        left = stored(waiting.join(met, "id", "left").select("id", (F.col("n") - F.coalesce("_met", F.lit(0))).alias("n")))
+        free, waiting = left.where("n = 0").select("id", F.lit(level).alias("level")), left.where("n > 0")
         gathered(found)
-    if not edges.isEmpty():
+    if not waiting.isEmpty():
         raise CycleError("the graph has a cycle")
     return gathered(found) if found else g.vertices.withColumn("level", F.lit(0))
 
 
+def ascends(edges: DataFrame) -> bool:
+    """Whether every edge goes to a greater vertex. Then so does every way, and none comes back."""
+    return edges.where(~F.coalesce(F.col("src") < F.col("dst"), F.lit(False))).isEmpty()
+
+
 def is_acyclic(g: Graph) -> bool:
+    """Edges that all ascend close no cycle, which one pass tells; other graphs are peeled."""
+    if not g.directed:
+        raise ValueError("only directed graphs are tested for cycles")
+    edges = stored(g.edges.select("src", "dst"))
+    if ascends(edges):
+        return True
     try:
-        levels(g)
+        levels(Graph(edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct(), edges))
     except CycleError:
         return False
     return True
@@ -144,7 +157,8 @@ def is_acyclic(g: Graph) -> bool:
 
 def dag(g: Graph) -> Graph:
     """The graph itself if it is directed and has no cycle; raises otherwise."""
-    levels(g)
+    if not is_acyclic(g):
+        raise CycleError("the graph has a cycle")
     return g
 
 
@@ -153,11 +167,6 @@ def dag_link(g: Graph, edges: DataFrame, merge: Callable[[Column, Column], Colum
     return dag(link(g, edges, merge))
 
 
-def ascends(edges: DataFrame) -> bool:
-    """Whether every edge goes to a greater vertex. Then so does every way, and none comes back."""
-    return edges.where(~F.coalesce(F.col("src") < F.col("dst"), F.lit(False))).isEmpty()
-
-
 def closing(g: Graph, pairs: DataFrame) -> DataFrame:
     """``pairs`` (src, dst) with ``closes``: whether linking them would close a cycle, as dst reaches src (or is it).
 

@@ -89,3 +89,10 @@ def test_blocks_climb_a_row_a_vertex(spark, monkeypatch):
         found.setdefault(r.block, set()).add(r.id)
     assert sorted(map(sorted, found.values())) == [list(range(40)), [39, 40], [40, 41]]
     assert given and max(given) <= 84
+
+
+def test_ascending_edges_are_acyclic_in_one_pass(spark, monkeypatch):
+    peeled, levels = [], traverse.levels
+    monkeypatch.setattr(traverse, "levels", lambda g: peeled.append(1) or levels(g))
+    assert traverse.is_acyclic(graph(spark, [(k, k + 1) for k in range(30)])) and not peeled
+    assert traverse.is_acyclic(graph(spark, [(2, 1), (1, 3)])) and not traverse.is_acyclic(graph(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])) and len(peeled) == 2
