@@ -96,3 +96,12 @@ def test_ascending_edges_are_acyclic_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(traverse, "levels", lambda g: peeled.append(1) or levels(g))
     assert traverse.is_acyclic(graph(spark, [(k, k + 1) for k in range(30)])) and not peeled
     assert traverse.is_acyclic(graph(spark, [(2, 1), (1, 3)])) and not traverse.is_acyclic(graph(spark, [(1, 2), (2, 3), (3, 1), (3, 4)])) and len(peeled) == 2
+
+
+def test_split_passes_on_two_edges_a_vertex(spark, monkeypatch):
+    given, stars = [], traverse.stars
+    monkeypatch.setattr(traverse, "stars", lambda links: given.append(links.count()) or stars(links))
+    whole = [(base + a, base + b) for base in (0, 50) for a in range(40) for b in range(a)]
+    rows = traverse.split(graph(spark, whole, False))[1].collect()
+    assert {(r.component, r.src, r.dst) for r in rows} == {(a // 50 * 50, min(a, b), max(a, b)) for a, b in whole} and len(rows) == len(whole)
+    assert given and max(given) <= 160
