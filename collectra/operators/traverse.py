@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.lineage import cut, stored
 from .graph import Graph, link
 from .positions import positions
+from .thin import gathered_near, thinned
 
 
 class CycleError(ValueError):
@@ -72,16 +73,22 @@ def stars(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
-def numbered(g: Graph) -> tuple[DataFrame, DataFrame]:
-    """Vertices (id, n), n in the order of the ids, and the edges between different ones as numbers (a, b), a < b, written once.
-
-    Minima of numbers are combined by hash where those of strings are sorted, and a row is a third of the size.
-    """
+def undirected(g: Graph) -> Graph:
     if g.directed:
         raise ValueError("components are of undirected graphs")
+    return g
+
+
+def numbered(g: Graph, blocks: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Vertices (id, n), n in the order of the ids, and edges between different ones as numbers (a, b), a < b, written once.
+
+    Only edges that keep the components, with ``blocks`` also these, are numbered: each task thins out its own before any
+    join. Minima of numbers are combined by hash where those of strings are sorted, and a row is a third of the size.
+    """
+    few = stored(thinned(undirected(g).edges, blocks))
     names = stored(positions(stored(g.vertices), F.asc_nulls_first("id"), out="n"))
     a, b = names.select(F.col("id").alias("src"), F.col("n").alias("a")), names.select(F.col("id").alias("dst"), F.col("n").alias("b"))
-    return names, stored(g.edges.where("src <> dst").select("src", "dst").join(a, "src").join(b, "dst").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    return names, stored(few.join(a, "src").join(b, "dst").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def turned(edges: DataFrame) -> DataFrame:
@@ -92,21 +99,25 @@ def turned(edges: DataFrame) -> DataFrame:
 def labelled(edges: DataFrame) -> DataFrame:
     """(node, component) as ``stars`` gives them, by few passes over many edges (a, b).
 
-    Every vertex's least and greatest neighbour, at most two edges a vertex, give parts. All edges are then held
-    against these; those between different parts, as a rule few, join them.
+    Each task finds the parts that its own edges form, named by their least vertex. Vertices that lie in several parts join
+    these; only the parts' names, as a rule few, go through rounds.
     """
-    ends = turned(edges).groupBy("a").agg(F.min("b").alias("_least"), F.max("b").alias("_most"))
-    parts = stored(stars(stored(ends.select("a", F.explode(F.array_distinct(F.array("_least", "_most"))).alias("b")))))
-    a, b = parts.select(F.col("node").alias("a"), F.col("component").alias("_a")), parts.select(F.col("node").alias("b"), F.col("component").alias("_b"))
-    between = stored(edges.join(a, "a").join(b, "b").where("_a <> _b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
-    if between.isEmpty():
-        return parts
+    links = stored(thinned(gathered_near(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")))))
+    own = links.select(F.col("src").alias("node"), F.col("dst").alias("part")).unionByName(links.select(F.col("dst").alias("node"), F.col("dst").alias("part")).distinct())
+    ends = stored(own.groupBy("node").agg(F.min("part").alias("component"), F.max("part").alias("_most")))
+    several = ends.where("component <> _most").select("node", "component")
+    between = stored(own.join(several, "node").where("part <> component").select(F.col("part").alias("a"), F.col("component").alias("b")).distinct())
     joined = stars(between).select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-    return stored(parts.join(joined, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")))
+    return stored(ends.join(joined, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component")))
 
 
 def connected_components(g: Graph) -> DataFrame:
     """(id, component): the least vertex of each component. Directed graphs are refused."""
+    return components(Graph(g.vertices, gathered_near(undirected(g).edges), False))
+
+
+def components(g: Graph) -> DataFrame:
+    """``connected_components`` of edges as they lie."""
     names, edges = numbered(g)
     own = names.join(labelled(edges), F.col("n") == F.col("node"), "left").select("id", F.coalesce("component", "n").alias("_c"))
     return own.join(names.select(F.col("id").alias("component"), F.col("n").alias("_c")), "_c").select("id", "component")
@@ -395,7 +406,7 @@ def blocks(g: Graph) -> DataFrame:
     pass as they climb until they meet. So one row a vertex climbs, not one an edge. A class of ends takes a round a
     level of the tree and stops at the vertex where all of it has met; blocks are classes that share a tree edge.
     """
-    names, edges = numbered(g)
+    names, edges = numbered(Graph(g.vertices, gathered_near(undirected(g).edges), False), blocks=True)
     parts = labelled(edges)
     by_level = trees(edges, parts)
     tree = stored(gathered(list(by_level)))
@@ -417,7 +428,7 @@ def blocks(g: Graph) -> DataFrame:
         links.append(climbed.select(F.col("id").alias("a"), (-1 - F.col("class")).alias("b")))
         gathered(links)
         climbed = None if climbed.isEmpty() else climbed
-    shared = stored(stars(gathered(links)).where("node >= 0"))
+    shared = stored(labelled(gathered(links)).where("node >= 0"))
     least = shared.groupBy("component").agg(F.min("node").alias("_b"))
     named = shared.join(least, "component").select(F.col("node").alias("id"), "_b")
     own = tree.where("parent is not null").join(named, "id", "left").withColumn("block", F.coalesce("_b", "id"))
