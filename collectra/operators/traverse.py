@@ -227,9 +227,10 @@ def searched(g: Graph, edges: DataFrame, pairs: DataFrame) -> DataFrame | None:
 
 def split(g: Graph) -> tuple[DataFrame, DataFrame]:
     """Vertices (id, component) and edges (component, src, dst, value): pieces that share nothing. Directed graphs are refused."""
-    ids = cut(connected_components(g))
+    edges = stored(gathered_near(undirected(g).edges))
+    ids = stored(components(Graph(g.vertices, edges, False)))
     own = ids.select(F.col("id").alias("_i"), "component")
-    return ids, g.edges.join(own, F.col("src") == F.col("_i")).select("component", "src", "dst", "value")
+    return ids, edges.join(own, F.col("src") == F.col("_i")).select("component", "src", "dst", "value")
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:

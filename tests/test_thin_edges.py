@@ -81,3 +81,14 @@ def test_trees_of_blocks_get_two_edges_a_vertex(spark, monkeypatch):
     whole = [(a, b) for a in range(40) for b in range(a)] + [(39, 40), (40, 41)]
     assert {r.id for r in traverse.articulation_points(graph(spark, whole)).collect()} == {39, 40}
     assert given and max(given) <= 80
+
+
+def test_split_sends_few_links_through_rounds(spark, monkeypatch):
+    given, numbered, stars = [], [], traverse.stars
+    labelled = traverse.labelled
+    monkeypatch.setattr(traverse, "labelled", lambda edges: numbered.append(edges.count()) or labelled(edges))
+    monkeypatch.setattr(traverse, "stars", lambda links: given.append(links.count()) or stars(links))
+    whole = [(base + a, base + b) for base in (0, 50) for a in range(40) for b in range(a)]
+    rows = traverse.split(graph(spark, whole))[1].collect()
+    assert {(r.component, r.src, r.dst) for r in rows} == {(a // 50 * 50, min(a, b), max(a, b)) for a, b in whole} and len(rows) == len(whole)
+    assert given and max(given) <= 16 and numbered and max(numbered) <= 160
